@@ -11,43 +11,43 @@ SLOT_COUNT = 16384
 CRC_POLYNOMIAL = 0x1021
 
 
-def _crc_table() -> np.ndarray:
-    crc = np.arange(256, dtype=np.uint32) << 8
+def _make_slot_udf():
+    """The UDF as a closure that carries all it needs, so workers do not have to have this package."""
+    table = np.arange(256, dtype=np.uint32) << 8
     for _ in range(8):
-        crc = np.where(crc & 0x8000, (crc << 1) ^ CRC_POLYNOMIAL, crc << 1) & 0xFFFF
-    return crc.astype(np.uint16)
-
-
-_TABLE = _crc_table()
-
-
-def _slots_of_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Slots of many byte strings lying in one buffer, one byte position at a time."""
-    order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
-    crc = np.zeros(len(order), dtype=np.uint16)
-    longest = int(length[0]) if len(length) else 0
-    # longer strings come first, so the ones still running at a position are a prefix
-    running = np.searchsorted(-length, -np.arange(longest), side="left")
-    for position in range(longest):
-        n = running[position]
-        head = crc[:n]
-        crc[:n] = (head << 8) ^ _TABLE[(head >> 8) ^ data[start[:n] + position]]
-    slots = np.empty(len(order), dtype=np.int32)
-    slots[order] = crc % SLOT_COUNT
-    return slots
-
-
-@F.arrow_udf(T.IntegerType())
-def _slot_udf(keys: pa.Array) -> pa.Array:
-    if isinstance(keys, pa.ChunkedArray):
-        keys = keys.combine_chunks()
-    keys = keys.cast(pa.large_binary())
-    _, offsets, data = keys.buffers()
-    bounds = np.frombuffer(offsets, dtype=np.int64)[keys.offset : keys.offset + len(keys) + 1]
-    buffer = np.frombuffer(data if data is not None else b"", dtype=np.uint8)
-    slots = _slots_of_bytes(buffer, bounds[:-1], np.diff(bounds))
-    return pa.array(slots, type=pa.int32(), mask=np.asarray(keys.is_null()))
+        table = np.where(table & 0x8000, (table << 1) ^ CRC_POLYNOMIAL, table << 1) & 0xFFFF
+    table = table.astype(np.uint16)
+    slot_count = SLOT_COUNT
+
+    def slots_of_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Slots of many byte strings lying in one buffer, one byte position at a time."""
+        order = np.argsort(-length, kind="stable")
+        start, length = start[order], length[order]
+        crc = np.zeros(len(order), dtype=np.uint16)
+        longest = int(length[0]) if len(length) else 0
+        # longer strings come first, so the ones still running at a position are a prefix
+        running = np.searchsorted(-length, -np.arange(longest), side="left")
+        for position in range(longest):
+            n = running[position]
+            head = crc[:n]
+            crc[:n] = (head << 8) ^ table[(head >> 8) ^ data[start[:n] + position]]
+        slots = np.empty(len(order), dtype=np.int32)
+        slots[order] = crc % slot_count
+        return slots
+
+    @F.arrow_udf(T.IntegerType())
+    def slots_of(keys: pa.Array) -> pa.Array:
+        keys = keys.cast(pa.large_binary())
+        _, offsets, data = keys.buffers()
+        bounds = np.frombuffer(offsets, dtype=np.int64)[keys.offset : keys.offset + len(keys) + 1]
+        buffer = np.frombuffer(data if data is not None else b"", dtype=np.uint8)
+        slots = slots_of_bytes(buffer, bounds[:-1], np.diff(bounds))
+        return pa.array(slots, type=pa.int32(), mask=np.asarray(keys.is_null()))
+
+    return slots_of
+
+
+_slot_udf = _make_slot_udf()
 
 
 def hash_tag(key: Column, strict_tag: bool = False) -> Column:

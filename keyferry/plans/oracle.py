@@ -52,9 +52,8 @@ V = {
         n + CASE task WHEN 0 THEN 0 WHEN 3 THEN 2000 ELSE 1000 END AS change_count,
         CASE task WHEN 1 THEN 10000000 ELSE 100000 END::BIGINT AS total_keys,
         CASE task WHEN 3 THEN TIMESTAMP '2024-01-01' + to_minutes(iteration) ELSE day::TIMESTAMP END AS ts
-      FROM (SELECT user_id % 4 AS task, ts::DATE AS day, count(*) AS n,
-              row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts::DATE) AS iteration
-            FROM events GROUP BY ALL)""",
+      FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY day) AS iteration
+            FROM (SELECT user_id % 4 AS task, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL))""",
     "ckpt": """
       SELECT 'task-' || l_suppkey % 3 AS task_id, 'worker-' || l_suppkey % 4 AS worker_id,
         (l_partkey % 16384)::INT AS slot_id, CASE WHEN l_returnflag = 'A' THEN '0' ELSE l_orderkey::VARCHAR END AS cursor,

@@ -2,47 +2,98 @@
 
 from pyspark.sql import types as T
 
+STRING, INT, LONG, DOUBLE, TIME = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.TimestampType()
+STRINGS = T.ArrayType(STRING)
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
 
+def struct(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
-KEYSPACE = _schema("key string, type string, value string, ttl_s long, node int")
-TYPED = _schema(
-    "key string, type string, str string, hash map<string,string>, list array<string>, "
-    "`set` array<string>, zset array<struct<member:string,score:long>>"
+
+KEYSPACE = struct(key=STRING, type=STRING, value=STRING, ttl_s=LONG, node=INT)
+TYPED = struct(
+    key=STRING,
+    type=STRING,
+    str=STRING,
+    hash=T.MapType(STRING, STRING),
+    list=STRINGS,
+    set=STRINGS,
+    zset=T.ArrayType(struct(member=STRING, score=LONG)),
+)
+CHANGE = struct(
+    node_id=STRING, key=STRING, op=STRING, value=STRING, ttl_s=LONG, new_key=STRING, ts=TIME, offset=LONG
 )
-CHANGE = _schema(
-    "node_id string, key string, op string, value string, ttl_s long, new_key string, "
-    "ts timestamp, `offset` long"
+FOLD = struct(
+    key=STRING,
+    write=struct(ts=TIME, offset=LONG, node_id=STRING, op=STRING, value=STRING, ttl_s=LONG),
+    expire=struct(ts=TIME, offset=LONG, node_id=STRING, ttl_s=LONG),
 )
-RUN = _schema(
-    "id string, name string, status string, source string, target string, config string, "
-    "created_at long, updated_at long, started_at long, completed_at long"
+RUN = struct(
+    id=STRING,
+    name=STRING,
+    status=STRING,
+    source=STRING,
+    target=STRING,
+    config=STRING,
+    created_at=LONG,
+    updated_at=LONG,
+    started_at=LONG,
+    completed_at=LONG,
 )
-SLOT_RANGE = _schema("task_id string, worker_id string, slot_start int, slot_end int")
-CHECKPOINT = _schema(
-    "task_id string, worker_id string, slot_id int, cursor string, keys_migrated long, "
-    "bytes_migrated long, last_key string, updated_at long, seq long"
+SLOT_RANGE = struct(task_id=STRING, worker_id=STRING, slot_start=INT, slot_end=INT)
+CHECKPOINT = struct(
+    task_id=STRING,
+    worker_id=STRING,
+    slot_id=INT,
+    cursor=STRING,
+    keys_migrated=LONG,
+    bytes_migrated=LONG,
+    last_key=STRING,
+    updated_at=LONG,
+    seq=LONG,
 )
-VERIFY = _schema(
-    "id long, task_id string, batch_id string, total_keys int, matched_keys int, "
-    "mismatched_keys int, missing_keys int, extra_keys int, details string, created_at long"
+VERIFY = struct(
+    id=LONG,
+    task_id=STRING,
+    batch_id=STRING,
+    total_keys=INT,
+    matched_keys=INT,
+    mismatched_keys=INT,
+    missing_keys=INT,
+    extra_keys=INT,
+    details=STRING,
+    created_at=LONG,
 )
-STATS = _schema(
-    "task_id string, total_keys long, migrated_keys long, total_bytes long, migrated_bytes long, "
-    "large_keys_count long, skipped_keys_count long, error_count long, start_time long, end_time long"
+STATS = struct(
+    task_id=STRING,
+    total_keys=LONG,
+    migrated_keys=LONG,
+    total_bytes=LONG,
+    migrated_bytes=LONG,
+    large_keys_count=LONG,
+    skipped_keys_count=LONG,
+    error_count=LONG,
+    start_time=LONG,
+    end_time=LONG,
 )
-METRIC = _schema("task_id string, metric_name string, metric_value double, timestamp long")
-ERROR_KEY = _schema(
-    "task_id string, seq long, key string, type string, reason string, detail string, timestamp string"
+METRIC = struct(task_id=STRING, metric_name=STRING, metric_value=DOUBLE, timestamp=LONG)
+ERROR_KEY = struct(
+    task_id=STRING, seq=LONG, key=STRING, type=STRING, reason=STRING, detail=STRING, timestamp=STRING
 )
-LOG = _schema(
-    "id long, timestamp string, level string, message string, source string, request_id string, "
-    "task_id string, fields string, stack string"
+LOG = struct(
+    id=LONG,
+    timestamp=STRING,
+    level=STRING,
+    message=STRING,
+    source=STRING,
+    request_id=STRING,
+    task_id=STRING,
+    fields=STRING,
+    stack=STRING,
 )
-PROGRESS = _schema(
-    "task_id string, worker_id string, keys_processed long, bytes_sent long, error_count long, ts timestamp"
+PROGRESS = struct(
+    task_id=STRING, worker_id=STRING, keys_processed=LONG, bytes_sent=LONG, error_count=LONG, ts=TIME
 )
-CONVERGENCE = _schema("task_id string, iteration int, change_count long, total_keys long, ts timestamp")
-NODE_INFO = _schema("cluster string, node string, section string, info string, keys long, maxclients int")
+PROGRESS_TOTALS = struct(task_id=STRING, worker_id=STRING, keys=LONG, bytes=LONG, errors=LONG)
+CONVERGENCE = struct(task_id=STRING, iteration=INT, change_count=LONG, total_keys=LONG, ts=TIME)
+NODE_INFO = struct(cluster=STRING, node=STRING, section=STRING, info=STRING, keys=LONG, maxclients=INT)

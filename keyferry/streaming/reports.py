@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keyferry import schemas
@@ -13,8 +12,6 @@ from keyferry.streaming.sinks import POLL, read_batches, start, write_batch
 THROUGHPUT_WINDOW = "10 seconds"
 SILENCE = "30 seconds"
 
-TOTALS = T.StructType.fromDDL("task_id string, worker_id string, keys long, bytes long, errors long")
-
 
 def stream_progress(reports: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Running totals per run and worker; each micro-batch writes the totals that changed."""
@@ -28,7 +25,7 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     """The newest totals of each run and worker."""
     newest = F.max_by(F.struct("keys", "bytes", "errors"), "batch").alias("newest")
     return (
-        read_batches(spark, path, TOTALS)
+        read_batches(spark, path, schemas.PROGRESS_TOTALS)
         .groupBy("task_id", "worker_id")
         .agg(newest)
         .select("task_id", "worker_id", "newest.*")

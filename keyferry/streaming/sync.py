@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keyferry import schemas
@@ -11,13 +10,6 @@ from keyferry.operators.filters import KeyFilter, filter_keys
 from keyferry.operators.verify import BROADCAST_KEYS
 from keyferry.streaming.sinks import read_batches, start, write_batch
 
-FOLD = T.StructType.fromDDL(
-    "key string, "
-    "write struct<ts:timestamp,`offset`:bigint,node_id:string,op:string,value:string,ttl_s:bigint>, "
-    "expire struct<ts:timestamp,`offset`:bigint,node_id:string,ttl_s:bigint>"
-)
-
-
 def stream_new_keys(
     rows: DataFrame,
     known: DataFrame,
@@ -71,7 +63,7 @@ def stream_apply_changes(
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:
     """One fold per key over all batches so far."""
-    return merge_folds(read_batches(spark, path, FOLD))
+    return merge_folds(read_batches(spark, path, schemas.FOLD))
 
 
 def changed_target(spark: SparkSession, target: DataFrame, path: str, source: DataFrame | None = None) -> DataFrame:

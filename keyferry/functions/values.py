@@ -35,14 +35,14 @@ def canonical_value(
         return F.array_join(parts, "")
 
     fields = F.transform(
-        F.array_sort(F.map_entries(hash_)), lambda e: F.concat(_framed(e["key"]), _framed(e["value"]))
+        F.sort_array(F.map_entries(hash_)), lambda e: F.concat(_framed(e["key"]), _framed(e["value"]))
     )
-    scored = F.array_sort(F.transform(zset, lambda m: F.struct(m["score"].alias("s"), m["member"].alias("m"))))
+    scored = F.sort_array(F.transform(zset, lambda m: F.struct(m["score"].alias("s"), m["member"].alias("m"))))
     members = F.transform(scored, lambda m: F.concat(_framed(m["s"].cast("string")), _framed(m["m"])))
     return (
         F.when(kind == "hash", joined(fields))
         .when(kind == "list", joined(F.transform(list_, _framed)))
-        .when(kind == "set", joined(F.transform(F.array_sort(set_), _framed)))
+        .when(kind == "set", joined(F.transform(F.sort_array(set_), _framed)))
         .when(kind == "zset", joined(members))
         .otherwise(string)
     )

@@ -33,7 +33,7 @@ def convergence(records: DataFrame, rule: ConvergenceRule = ConvergenceRule(), c
         "_own", F.floor(F.col("position") / chunk)
     )
     overlapped = placed.withColumn(
-        "_chunk", F.explode(F.array_distinct(F.array("_own", F.floor((F.col("position") + lead) / chunk))))
+        "_chunk", F.explode(F.sequence("_own", F.floor((F.col("position") + lead) / chunk)))
     )
     in_order = W.partitionBy("task_id", "_chunk").orderBy("position")
     recent = F.collect_list(F.struct("ts", "change_count")).over(in_order.rowsBetween(-lead, 0))

@@ -8,7 +8,7 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 ID_LENGTH = 8
 LINE_PATTERN = (
     r"^\[([^\]]*)\] \[([A-Z]+)\](?: \[req:([^\]]*)\])?(?: \[task:([^\]]*)\])?(?: \[([^\]]*)\])?"
-    r" (.*?)(?: (\{.*\}))?$"
+    r" (.*?)(?: (\{\".*\}))?$"
 )
 EXPORT_TITLE = "=== Log Export ==="
 STACK_TITLE = "Stack Trace:"

@@ -45,21 +45,21 @@ def resolve_attempts(attempts: DataFrame, phase: str = "full", max_retries: int
     """One outcome per key from its attempts (task_id, key, attempt, outcome).
 
     The first ``ok`` or ``skipped`` within ``max_retries`` wins, otherwise the key has failed. Between
-    attempts the wait grows by one interval; ``waited_ms`` is the sum. Plain sums and minima, so a key
-    with very many attempts is folded map-side.
+    attempts the wait grows by one interval; ``waited_ms`` is the sum. Attempt and outcome are folded as
+    one number, so hash aggregation does it, map-side first, however many attempts a key has.
     """
     interval = FULL_RETRY_MS if phase == "full" else INCREMENTAL_RETRY_MS
-    tried = F.least(F.col("tries"), F.lit(max_retries))
     ends = F.col("outcome").isin("ok", "skipped") & (F.col("attempt") <= max_retries)
+    ended = F.col("attempt").cast("long") * 2 + (F.col("outcome") == "skipped").cast("long")
     final = F.col("final")
-    used = F.coalesce(final["attempt"], tried)
+    used = F.coalesce(F.floor(final / 2), F.least(F.col("tries"), F.lit(max_retries)))
     return (
         attempts.groupBy("task_id", "key")
-        .agg(F.min(F.when(ends, F.struct("attempt", "outcome"))).alias("final"), F.max("attempt").alias("tries"))
+        .agg(F.min(F.when(ends, ended)).alias("final"), F.max("attempt").alias("tries"))
         .select(
             "task_id",
             "key",
-            F.coalesce(final["outcome"], F.lit("failed")).alias("outcome"),
+            F.when(final.isNull(), "failed").when(final % 2 == 0, "ok").otherwise("skipped").alias("outcome"),
             used.cast("int").alias("attempts"),
             F.when(final.isNull(), F.lit(f"(after {max_retries} retries)")).alias("detail"),
             (F.floor(used * (used - 1) / 2) * interval).cast("long").alias("waited_ms"),

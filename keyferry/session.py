@@ -13,6 +13,12 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    # sessions of one worker are merged map-side before they meet
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # window and session state on disk, not on the heap
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 

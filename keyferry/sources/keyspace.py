@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from keyferry import schemas
 from keyferry.functions.values import canonical_value
 
+# The copy of a repeated key that is kept: the first in this order.
 SCAN_ORDER = ["node", "type", "value", "ttl_s"]
 
 
@@ -17,6 +18,11 @@ def read_keyspace(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.format(fmt).schema(schemas.KEYSPACE).load(path)
 
 
+def read_key_list(spark: SparkSession, path: str) -> DataFrame:
+    """Keys from text files with one key per line; empty lines do not count."""
+    return spark.read.text(path).select(F.col("value").alias("key")).filter(F.length("key") > 0)
+
+
 def scan_keyspace(rows: DataFrame, order: list[str | Column] | None = None) -> DataFrame:
     """One row per key. Of differing rows of a key the first by ``order`` is kept.
 

@@ -8,6 +8,7 @@ from keyferry import schemas
 from keyferry.operators.changes import apply_folds, fold_changes, merge_folds
 from keyferry.operators.filters import KeyFilter, filter_keys
 from keyferry.operators.verify import BROADCAST_KEYS
+from keyferry.sources.keyspace import scan_keyspace
 from keyferry.streaming.sinks import read_batches, start, write_batch
 
 def stream_new_keys(
@@ -16,33 +17,32 @@ def stream_new_keys(
     path: str,
     checkpoint: str,
     rule: KeyFilter = KeyFilter(),
-    within: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write each key the first time the stream shows it, unless the snapshot ``known`` has it.
 
-    The keys already seen are streaming state that grows with the keyspace; the RocksDB state store
-    keeps it on disk. ``within`` bounds it to repeats within that time of ``ts``. A micro-batch that is
-    small by count is broadcast to the snapshot, which is then scanned by key and not shuffled.
+    The known keys are the snapshot and what earlier micro-batches wrote; a replayed micro-batch sees the
+    same ones. Copies within a micro-batch are cut map-side. A micro-batch that is small by count is
+    broadcast to the known keys, which are then scanned by key column and not shuffled. Now and then,
+    restart with a new snapshot and folder, so that the number of batch folders stays moderate.
     """
-    kept = filter_keys(rows, rule)
-    if within:
-        unique = kept.withWatermark("ts", within).dropDuplicatesWithinWatermark(["key"])
-    else:
-        unique = kept.dropDuplicates(["key"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*schemas.KEYSPACE.names).persist()
+        fresh = scan_keyspace(batch.select(*schemas.KEYSPACE.names)).persist()
         try:
-            keys = batch.select("key")
-            if batch.count() <= BROADCAST_KEYS:
+            before = known.select("key")
+            if batch_id > 0:
+                earlier = read_batches(batch.sparkSession, path, schemas.KEYSPACE).filter(F.col("batch") < batch_id)
+                before = before.unionByName(earlier.select("key"))
+            keys = fresh.select("key")
+            if fresh.count() <= BROADCAST_KEYS:
                 keys = F.broadcast(keys)
-            seen = known.select("key").join(keys, "key", "left_semi").distinct()
-            write_batch(batch.join(seen, "key", "left_anti"), batch_id, path)
+            seen = before.join(keys, "key", "left_semi").distinct()
+            write_batch(fresh.join(seen, "key", "left_anti"), batch_id, path)
         finally:
-            batch.unpersist()
+            fresh.unpersist()
 
-    return start(unique, handle, checkpoint, trigger=trigger)
+    return start(filter_keys(rows, rule), handle, checkpoint, trigger=trigger)
 
 
 def read_new_keys(spark: SparkSession, path: str) -> DataFrame:

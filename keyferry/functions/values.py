@@ -17,32 +17,19 @@ def normal_ttl(ttl_s: Column) -> Column:
     return F.greatest(F.coalesce(ttl_s, F.lit(0)), F.lit(0)).cast("long")
 
 
-def _framed(text: Column) -> Column:
-    return F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
-
-
 def canonical_value(
     kind: Column, string: Column, hash_: Column, list_: Column, set_: Column, zset: Column
 ) -> Column:
-    """One comparable text per typed value.
+    """One comparable text per typed value: JSON with every free order fixed.
 
-    Every element is written as ``<bytes>:<text>``, so no element can be mistaken for two. Hash entries
-    are in field order, set members in member order, zset members in (score, member) order; lists keep
-    their own order.
+    Hash entries are in field order, set members in member order, zset members in (score, member) order;
+    lists keep their own order.
     """
-
-    def joined(parts: Column) -> Column:
-        return F.array_join(parts, "")
-
-    fields = F.transform(
-        F.sort_array(F.map_entries(hash_)), lambda e: F.concat(_framed(e["key"]), _framed(e["value"]))
-    )
-    scored = F.sort_array(F.transform(zset, lambda m: F.struct(m["score"].alias("s"), m["member"].alias("m"))))
-    members = F.transform(scored, lambda m: F.concat(_framed(m["s"].cast("string")), _framed(m["m"])))
+    scored = F.transform(zset, lambda m: F.struct(m["score"].alias("score"), m["member"].alias("member")))
     return (
-        F.when(kind == "hash", joined(fields))
-        .when(kind == "list", joined(F.transform(list_, _framed)))
-        .when(kind == "set", joined(F.transform(F.sort_array(set_), _framed)))
-        .when(kind == "zset", joined(members))
+        F.when(kind == "hash", F.to_json(F.sort_array(F.map_entries(hash_))))
+        .when(kind == "list", F.to_json(list_))
+        .when(kind == "set", F.to_json(F.sort_array(set_)))
+        .when(kind == "zset", F.to_json(F.sort_array(scored)))
         .otherwise(string)
     )

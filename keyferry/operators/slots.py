@@ -1,6 +1,7 @@
 """Slot columns, slot histograms, slot ranges and their workload."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyferry.functions.slots import SLOT_COUNT, slot
@@ -60,16 +61,28 @@ def slot_ranges(plan: DataFrame) -> DataFrame:
 def range_workload(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Keys and bytes in each worker's slot range; a worker without keys shows 0.
 
-    Keys are summed per slot before they meet the ranges, and the ranges are laid out slot by slot, so
-    the range join is an equi-join of at most 16384 rows per range.
+    Keys are summed per slot, then along the slots. The workload of a range is the difference of two of
+    those running totals, so the range join becomes two lookups in a table of 16385 rows, however many
+    ranges there are and however they overlap.
     """
-    worker = ["task_id", "worker_id", "slot_start", "slot_end"]
-    slots: Column = F.explode_outer(
-        F.when(F.col("slot_start") <= F.col("slot_end"), F.sequence("slot_start", "slot_end"))
+    every_slot = rows.sparkSession.range(-1, SLOT_COUNT).select(F.col("id").cast("int").alias("slot"))
+    upto = W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
+    totals = F.broadcast(
+        every_slot.join(slot_histogram(rows), "slot", "left").select(
+            "slot", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("keys", "bytes")]
+        )
     )
+    before = totals.select(*[F.col(c).alias(f"_before_{c}") for c in totals.columns])
+    through = totals.select(*[F.col(c).alias(f"_through_{c}") for c in totals.columns])
+    last = F.least(F.col("slot_end"), F.lit(SLOT_COUNT - 1))
+    previous = F.greatest(F.col("slot_start") - 1, F.lit(-1))
+
+    def within(measure: str) -> Column:
+        inside = F.col(f"_through_{measure}") - F.col(f"_before_{measure}")
+        return F.coalesce(F.when(F.col("slot_start") <= F.col("slot_end"), inside), F.lit(0)).alias(measure)
+
     return (
-        ranges.select(*worker, slots.alias("slot"))
-        .join(slot_histogram(rows), "slot", "left")
-        .groupBy(*worker)
-        .agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("keys"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+        ranges.join(before, F.col("_before_slot") == previous, "left")
+        .join(through, F.col("_through_slot") == last, "left")
+        .select("task_id", "worker_id", "slot_start", "slot_end", within("keys"), within("bytes"))
     )

@@ -196,10 +196,10 @@ define(
     f"""
   SELECT key, type, strlen(value)::BIGINT AS bytes, md5(value) AS digest FROM (
     SELECT key, type, CASE kind WHEN 'string' THEN {filler('key', 400)} WHEN 'large' THEN {filler('key', 100_000)}
-      WHEN 'hash' THEN array_to_string(list_transform(range(0, 10),
-        lambda i: '7:field_' || i || '100:' || ({ITEMS})[i + 1]), '')
-      WHEN 'list' THEN array_to_string(list_transform({ITEMS}, lambda x: '100:' || x), '')
-      ELSE array_to_string(list_transform(list_sort({ITEMS}), lambda x: '100:' || x), '') END AS value
+      WHEN 'hash' THEN to_json(list_transform(range(0, 10),
+        lambda i: {{'key': 'field_' || i, 'value': ({ITEMS})[i + 1]}}))::VARCHAR
+      WHEN 'list' THEN to_json({ITEMS})::VARCHAR
+      ELSE to_json(list_sort({ITEMS}))::VARCHAR END AS value
     FROM (
       SELECT 'string' AS kind, 'string' AS type, 'str_key_' || o_orderkey AS key FROM orders
       UNION ALL SELECT 'large', 'string', 'large_str_' || n_nationkey FROM nation
@@ -439,25 +439,18 @@ define("verify_full", "src tgt checked", "SELECT * FROM checked")
 define("verify_full_summary", "src tgt checked", f"SELECT {COUNTS}, {EXTRA}, {RATE} FROM checked")
 
 
-def framed(text: str) -> str:
-    return f"strlen({text}) || ':' || {text}"
-
-
 derive(
     "canon",
-    f"""
-  SELECT 'order:' || o_orderkey AS key, 'hash' AS type, '8:customer' || {framed("o_custkey::VARCHAR")}
-    || '8:priority' || {framed("o_orderpriority")} || '6:status' || {framed("o_orderstatus")} AS value FROM orders
+    """
+  SELECT 'order:' || o_orderkey AS key, 'hash' AS type, to_json([{'key': 'customer', 'value': o_custkey::VARCHAR},
+    {'key': 'priority', 'value': o_orderpriority}, {'key': 'status', 'value': o_orderstatus}])::VARCHAR AS value FROM orders
   UNION ALL
-  SELECT 'talk:' || conv_id || ':' || turn, 'list',
-    array_to_string(list_transform(string_split(text, ' '), lambda w: {framed("w")}), '') FROM conversations
+  SELECT 'talk:' || conv_id || ':' || turn, 'list', to_json(string_split(text, ' '))::VARCHAR FROM conversations
   UNION ALL
-  SELECT 'doc:' || doc_id, 'set', array_to_string(list_transform(list_sort(list_distinct(string_split(text, ' '))),
-    lambda w: {framed("w")}), '') FROM documents
+  SELECT 'doc:' || doc_id, 'set', to_json(list_sort(list_distinct(string_split(text, ' '))))::VARCHAR FROM documents
   UNION ALL
-  SELECT 'part:' || p_partkey, 'zset', array_to_string(list_transform(
-    list_sort(list_transform(string_split(p_name, ' '), lambda w, i: {{'s': p_size - i + 1, 'm': w}})),
-    lambda e: {framed("e.s::VARCHAR")} || {framed("e.m")}), '') FROM part""",
+  SELECT 'part:' || p_partkey, 'zset', to_json(list_sort(list_transform(string_split(p_name, ' '),
+    lambda w, i: {'score': p_size - i + 1, 'member': w})))::VARCHAR FROM part""",
 )
 define(
     "canonical_values", "canon", "SELECT key, type, strlen(value)::BIGINT AS bytes, md5(value) AS digest FROM canon"

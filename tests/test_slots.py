@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
+from keyferry import schemas
 from keyferry.functions.slots import SLOT_COUNT, slot, slot_bucket
 from keyferry.operators import slots
 
@@ -42,8 +44,18 @@ def test_any_bytes_match_a_bitwise_crc(spark):
     assert slots_of(spark, keys) == {k: slot_by_hand(k.encode()) for k in keys}
 
 
-def test_null_key_has_no_slot(spark):
-    assert slots_of(spark, [None, "a"])[None] is None
+def test_null_key(spark, keyspace):
+    assert slots_of(spark, [None, "a"])[None] == -1
+    ranges = spark.createDataFrame([("t", "w", 0, 16383)], "task_id string, worker_id string, slot_start int, slot_end int")
+    assert slots.range_workload(keyspace((None, "x"), ("a", "y")), ranges).first()["keys"] == 1
+
+
+def test_joins_run_the_udf_once(spark, keyspace, tmp_path):
+    keyspace(("a", "1")).write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.schema(schemas.KEYSPACE).parquet(str(tmp_path / "rows"))
+    ranges = spark.createDataFrame([("t", "w", 0, 16383)], "task_id string, worker_id string, slot_start int, slot_end int")
+    joined = slots.slot_histogram(stored).join(ranges, F.col("slot") == F.col("slot_start"))
+    assert plan_of(joined).count("ArrowEvalPython") == 1
 
 
 @pytest.mark.parametrize("workers", [1, 3, 7, 1000, SLOT_COUNT])

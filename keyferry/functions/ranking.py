@@ -5,8 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Up to this many rows a plain top-k sends at most this many rows per partition to the last task.
-DIRECT_LIMIT = 1000
-SALTS = 32
+DIRECT_LIMIT = 100
 
 
 def top_rows(df: DataFrame, order: list[Column], k: int, bucket: Column, bucket_desc: bool = False) -> DataFrame:
@@ -26,21 +25,28 @@ def top_rows(df: DataFrame, order: list[Column], k: int, bucket: Column, bucket_
     return df.orderBy(*order).limit(k)
 
 
-def first_per_group(df: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:
+def first_per_group(df: DataFrame, group: str, order: list[str], k: int, bucket: Column) -> DataFrame:
     """The first ``k`` rows of every group by the columns ``order``, which must be unique in a group.
 
-    A small ``k`` is cut map-side by Spark. Beyond that, groups are ranked in salted parts first, so a
-    group with a large share of all rows is sorted by many tasks and only the survivors meet.
+    ``bucket`` must grow along the leading order column. A small ``k`` is cut map-side by Spark. For a
+    large one the rows per group and bucket are counted first, and only buckets the result can reach are
+    ranked, so a group with a large share of all rows never meets in one task.
     """
+    if k > DIRECT_LIMIT:
+        counts = df.groupBy(group, bucket.alias("_bucket")).agg(F.count("*").alias("_rows"))
+        earlier = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        reached = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        last = reached.filter(F.col("_before") < k).groupBy(group).agg(F.max("_bucket").alias("_last"))
+        df = _join_whole(df, last, [group]).filter(bucket <= F.col("_last")).drop("_last")
+    rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
-    def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
-    if k > DIRECT_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-        df = ranked(salted, [*group, "_salt"]).drop("_salt")
-    return ranked(df, group)
+def _join_whole(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on keys that may be null, keeping the columns of ``df`` and the new ones of ``other``."""
+    other = other.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
+    return df.join(other, same).drop(*[f"_of_{key}" for key in keys])
 
 
 def with_position(df: DataFrame, group: str, order: str, block: int) -> DataFrame:
@@ -55,8 +61,7 @@ def with_position(df: DataFrame, group: str, order: str, block: int) -> DataFram
     before = counts.select(group, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     local = F.row_number().over(W.partitionBy(group, "_block").orderBy(order))
     return (
-        blocked.withColumn("_local", local)
-        .join(before, [group, "_block"])
+        _join_whole(blocked.withColumn("_local", local), before, [group, "_block"])
         .withColumn("position", (F.col("_before") + F.col("_local")).cast("long"))
         .drop("_block", "_local", "_before")
     )

@@ -16,6 +16,8 @@ FULL_RETRY_MS = 100
 INCREMENTAL_RETRY_MS = 1000
 MAX_PAGE_SIZE = 100
 DEFAULT_PAGE_SIZE = 20
+# Width of the sequence ranges counted to find the first rows of a run.
+SEQ_BLOCK = 4096
 
 
 def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def dead_letters(resolved: DataFrame) -> DataFrame:
 
 def cap_error_keys(errors: DataFrame, cap: int = ERROR_KEY_CAP) -> DataFrame:
     """The first ``cap`` error rows of every run, in order of ``seq`` and key."""
-    return first_per_group(errors, ["task_id"], ["seq", "key"], cap)
+    return first_per_group(errors, "task_id", ["seq", "key"], cap, bucket=F.floor(F.col("seq") / SEQ_BLOCK))
 
 
 def shown_error_keys(errors: DataFrame, shown: int = ERROR_KEYS_SHOWN) -> DataFrame:

@@ -16,24 +16,20 @@ RULE = "=" * 50
 
 
 def scan_log_text(lines: DataFrame) -> DataFrame:
-    """Parse a column ``value`` of log lines. Lines of another form (titles, stacks) are left out."""
-    value = F.col("value")
-
-    def part(index: int) -> Column:
-        return F.regexp_extract(value, LINE_PATTERN, index)
-
-    def optional(index: int) -> Column:
-        return F.nullif(part(index), F.lit(""))
-
-    return lines.filter(value.rlike(LINE_PATTERN)).select(
-        part(1).alias("timestamp"),
-        part(2).alias("level"),
-        optional(3).alias("request_id"),
-        optional(4).alias("task_id"),
-        optional(5).alias("source"),
-        part(6).alias("message"),
-        optional(7).alias("fields"),
-    )
+    """Parse a column ``value`` with one log line per row. Other lines (titles, stacks) are left out.
+
+    One match per line: its groups are written one under the other, which no line can contain, and split.
+    """
+    names = ["timestamp", "level", "request_id", "task_id", "source", "message", "fields"]
+    groups = "\n".join(f"${i + 1}" for i in range(len(names)))
+    parts = lines.select(F.split(F.regexp_replace("value", LINE_PATTERN, groups), "\n").alias("part"))
+    required = ("timestamp", "level", "message")
+
+    def field(index: int, name: str) -> Column:
+        text = F.col("part")[index]
+        return (text if name in required else F.nullif(text, F.lit(""))).alias(name)
+
+    return parts.filter(F.size("part") == len(names)).select(*[field(i, name) for i, name in enumerate(names)])
 
 
 def read_log_text(spark: SparkSession, path: str) -> DataFrame:

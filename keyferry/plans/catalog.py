@@ -12,7 +12,7 @@ from keyferry.operators import changes, clusters, convergence, filters, history,
 from keyferry.operators import logs as log_ops
 from keyferry.operators.filters import KeyFilter
 from keyferry.operators.logs import LogFilter
-from keyferry.plans import views
+from keyferry.plans import migration, views
 from keyferry.session import scratch_path
 from keyferry.sources import keyspace, nodes, writers
 from keyferry.sources import logs as log_files
@@ -306,6 +306,23 @@ def apply_changes(spark, sf):
     return changes.apply_changes(views.users(spark, sf), views.changes(spark, sf))
 
 
+@query
+def migrate(spark, sf):
+    """The whole job over a scan with repeated keys: scan, filter, merge, write; the target as written."""
+    options = migration.MigrationOptions(KeyFilter("prefix", ["li:{1", "li:{2"], ["li:{13"]), "replace")
+    path = scratch_path(spark, "migrated")
+    report = migration.migrate(spark, views.raw_scan(spark, sf), views.target(spark, sf), path, options)
+    return report.target.select("key", "type", "value", "ttl_s", "node")
+
+
+@query
+def migrate_summary(spark, sf):
+    options = migration.MigrationOptions(KeyFilter("pattern", ["[0-4]$"]), "skip_full_only")
+    path = scratch_path(spark, "migrated")
+    report = migration.migrate(spark, views.source(spark, sf), views.target(spark, sf), path, options)
+    return report.summary
+
+
 # --- verification
 
 

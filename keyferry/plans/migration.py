@@ -4,12 +4,15 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyferry.operators.filters import KeyFilter, filter_keys
-from keyferry.operators.merge import merge_result
-from keyferry.operators.progress import full_load_summary, progress
+from keyferry import schemas
+from keyferry.operators.filters import KeyFilter, filter_keys, filter_verdict
+from keyferry.operators.merge import merge_result, plan_merge
+from keyferry.operators.progress import migration_summary, progress
 from keyferry.operators.verify import DEFAULT_SAMPLE, sample_keys, verify_rows, verify_summary
-from keyferry.sources.keyspace import scan_keyspace
+from keyferry.session import scratch_path
+from keyferry.sources.keyspace import key_snapshot, scan_keyspace
 from keyferry.sources.writers import write_snapshot
 
 
@@ -32,13 +35,20 @@ def migrate(
 ) -> MigrationReport:
     """Full load of a source scan into a target, written to the new version folder ``path``.
 
-    Summary and verification are DataFrames still to be run; the verification reads the written table.
+    The filtered, de-duplicated scan is written once to the shared scratch folder, because summary, merge
+    and verification all need it and de-duplicating is the one step that shuffles source values. Summary
+    and verification are DataFrames still to be run; the verification reads the written target.
     """
-    source = scan_keyspace(source_rows)
-    summary = progress(full_load_summary(source, target, options.rule, options.policy))
-    kept = filter_keys(source, options.rule)
-    write_snapshot(merge_result(kept, target, options.policy), path, options.buckets)
+    rule, policy = options.rule, options.policy
+    scan_path = scratch_path(spark, "scanned-source")
+    scan_keyspace(filter_keys(source_rows, rule)).write.parquet(scan_path)
+    source = spark.read.schema(schemas.KEYSPACE).parquet(scan_path)
+    dropped = None
+    if rule != KeyFilter():
+        dropped = filter_verdict(key_snapshot(source_rows), rule).filter(~F.col("kept"))
+    summary = progress(migration_summary(plan_merge(source, target, policy), dropped))
+    write_snapshot(merge_result(source, target, policy), path, options.buckets)
     written = spark.read.parquet(path)
-    sampled = sample_keys(kept, options.sample)
+    sampled = sample_keys(source, options.sample)
     verification = verify_summary(verify_rows(sampled, written, sample_size=options.sample))
     return MigrationReport(summary, verification, written)

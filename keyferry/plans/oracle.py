@@ -414,6 +414,25 @@ APPLY_CHANGES = """
   WHERE coalesce(w.op, '') <> 'del' AND coalesce(w.value, u.value) IS NOT NULL"""
 define("apply_changes", "users chg", APPLY_CHANGES)
 
+define(
+    "migrate",
+    "raw tgt",
+    f"""
+  SELECT key, type, value, 0::BIGINT AS ttl_s, node FROM ({SCAN_KEYSPACE})
+  WHERE (starts_with(key, 'li:{{1') OR starts_with(key, 'li:{{2')) AND NOT starts_with(key, 'li:{{13')
+  UNION ALL SELECT {KEYSPACE} FROM tgt""",
+)
+define(
+    "migrate_summary",
+    "src tgt",
+    f"""
+  SELECT *, (keys_migrated + keys_skipped + keys_filtered)::DOUBLE / keys_total * 100 AS percentage FROM (
+    SELECT count(*) AS keys_total, count(*) FILTER (kept AND outcome = 'migrated') AS keys_migrated,
+      count(*) FILTER (kept AND outcome = 'skipped') AS keys_skipped, count(*) FILTER (NOT kept) AS keys_filtered,
+      0::BIGINT AS keys_failed, sum(CASE WHEN kept THEN bytes_moved ELSE 0 END)::BIGINT AS bytes_migrated
+    FROM (SELECT *, regexp_matches(key, '[0-4]$') AS kept FROM ({SKIPPED})))""",
+)
+
 # --- verification
 
 derive(

@@ -21,6 +21,16 @@ def write_snapshot(keyspace: DataFrame, path: str, buckets: int = 64) -> None:
     stored.hint("rebalance", "slot_bucket").write.mode("error").partitionBy("slot_bucket").parquet(path)
 
 
+def write_snapshot_table(keyspace: DataFrame, table: str, path: str, buckets: int = 1024) -> None:
+    """Write a keyspace as a new table bucketed and sorted by key.
+
+    Merging or comparing two tables with the same number of buckets needs no shuffle. For keyspaces that
+    are merged again and again; choose ``buckets`` so that one fits a task.
+    """
+    writer = keyspace.repartition(buckets, "key").write.mode("error").option("path", path)
+    writer.bucketBy(buckets, "key").sortBy("key").format("parquet").saveAsTable(table)
+
+
 def append_metrics(points: DataFrame, path: str) -> None:
     """Append metric points to a table partitioned by metric name."""
     points.hint("rebalance", "metric_name").write.mode("append").partitionBy("metric_name").parquet(path)

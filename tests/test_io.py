@@ -1,10 +1,11 @@
 import datetime
 
 import pytest
-from conftest import values
+from conftest import plan_of, values
 from pyspark.sql import functions as F
 
 from keyferry import schemas
+from keyferry.operators import merge, verify
 from keyferry.session import scratch_path
 from keyferry.sources import logs, writers
 from keyferry.sources.keyspace import key_snapshot, keyspace_size, read_keyspace, union_scans
@@ -56,6 +57,24 @@ def test_error_key_csv(spark, tmp_path):
     assert text == f'"Key","Type","Reason","Detail","Timestamp"\n"quo""ted,\nkey","hash","failed","say ""no""","{NOW}"\n'
 
 
+def test_bucketed_snapshots_join_without_shuffle(spark, keyspace, tmp_path):
+    rows = keyspace(*[(f"k{i}", "v") for i in range(50)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sides = []
+        for name in ("source_v1", "target_v1"):
+            writers.write_snapshot_table(rows, name, str(tmp_path / name), buckets=4)
+            sides.append(spark.table(name))
+        checked = verify.verify_full(*sides)
+        plans = [plan_of(df) for df in (checked, merge.merge_result(*sides, "skip"), merge.plan_merge(*sides, "skip"))]
+        assert all("Exchange" not in plan for plan in plans)
+        assert verify.verify_full_summary(checked).first().matched_keys == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("source_v1", "target_v1"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_metrics_append(spark, tmp_path):
     points = spark.createDataFrame([("t", "speed", 1.5, 10)], schemas.METRIC)
     for _ in range(2):

@@ -39,7 +39,7 @@ class KeyFilter:
 
 
 def _any(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions, F.lit(False)) if not conditions else reduce(or_, conditions)
+    return reduce(or_, conditions) if conditions else F.lit(False)
 
 
 def _starts(key: Column, prefixes: list[str]) -> Column:

@@ -4,8 +4,6 @@ Every view covers its whole table. The divisors below shape the data (which keys
 node owns a key); they do not make a query smaller.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -380,6 +378,3 @@ def generator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     for plan in rest:
         first = first.unionByName(plan)
     return first
-
-
-View = Callable[[SparkSession, str], DataFrame]

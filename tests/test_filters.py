@@ -3,7 +3,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from keyferry.operators.filters import KeyFilter, filter_keys, filter_report, filter_verdict, select_in_slots
-from keyferry.sources.keyspace import read_keyspace
+from keyferry.sources.keyspace import read_key_list, read_keyspace
 
 KEYS = ["user:1", "user:2", "order:1", "order:22", "tmp:user:9", "cache"]
 
@@ -47,6 +47,12 @@ def test_verdict_agrees_with_filter(spark, rows, mode):
     assert report.agg(F.sum("keys")).first()[0] == len(KEYS)
 
 
+def test_key_list_file(spark, rows, tmp_path):
+    (tmp_path / "keys.txt").write_text("cache\n\nuser:2\n")
+    listed = read_key_list(spark, str(tmp_path / "keys.txt"))
+    assert kept(rows, KeyFilter("keys", key_table=listed)) == {"cache", "user:2"}
+
+
 def test_bad_arguments():
     with pytest.raises(ValueError, match="invalid pattern"):
         KeyFilter("pattern", ["("])

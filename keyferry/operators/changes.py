@@ -50,14 +50,32 @@ def merge_folds(folds: DataFrame) -> DataFrame:
     return folds.groupBy("key").agg(F.max("write").alias("write"), F.max("expire").alias("expire"))
 
 
-def apply_folds(target: DataFrame, folds: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def apply_folds(
+    target: DataFrame, folds: DataFrame, source: DataFrame | None = None, few: bool = False
+) -> DataFrame:
     """Target after the folded changes.
 
     A set without a value takes value and type from ``source``, where the key lives now; if the source
     lacks it too, the target row stays. An expire counts only after the last write.
+
+    Pass ``few`` when ``few_enough`` has found few changed keys. They are then broadcast to the target:
+    its untouched rows pass through, and only the touched ones are shuffled.
     """
+    target = target.select(schemas.KEYSPACE.names)
+    if not few:
+        return _changed(target.join(folds, "key", "full_outer"), source)
+    keys = F.broadcast(folds.select("key"))
+    touched = folds.join(target.join(keys, "key", "left_semi"), "key", "left")
+    if source is not None:
+        source = source.join(keys, "key", "left_semi")
+    return target.join(keys, "key", "left_anti").withColumn("ttl_s", normal_ttl(F.col("ttl_s"))).unionByName(
+        _changed(touched, source)
+    )
+
+
+def _changed(joined: DataFrame, source: DataFrame | None) -> DataFrame:
+    """Rows of the target joined with folds, after the change."""
     write, expire = F.col("write"), F.col("expire")
-    joined = target.select(schemas.KEYSPACE.names).join(folds, "key", "full_outer")
     if source is not None:
         lookup = source.select("key", F.col("value").alias("_value"), F.col("type").alias("_type"))
         joined = joined.join(lookup, "key", "left")
@@ -83,6 +101,8 @@ def apply_folds(target: DataFrame, folds: DataFrame, source: DataFrame | None =
     )
 
 
-def apply_changes(target: DataFrame, changes: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def apply_changes(
+    target: DataFrame, changes: DataFrame, source: DataFrame | None = None, few: bool = False
+) -> DataFrame:
     """Target after a log of set, del, expire and rename events."""
-    return apply_folds(target, fold_changes(changes), source)
+    return apply_folds(target, fold_changes(changes), source, few)

@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 
 from keyferry.functions.ranking import top_rows
 from keyferry.functions.values import canonical_value, digest, normal_ttl
+from keyferry.operators.limits import BROADCAST_KEYS
 
 DEFAULT_SAMPLE = 10_000
-# A sample of at most this many keys (key and digest, well under 100 MB) may be broadcast.
-BROADCAST_KEYS = 200_000
 
 
 def canonical_values(typed: DataFrame) -> DataFrame:

@@ -413,6 +413,7 @@ APPLY_CHANGES = """
   FROM users u FULL JOIN writes w USING (key) LEFT JOIN expires e USING (key)
   WHERE coalesce(w.op, '') <> 'del' AND coalesce(w.value, u.value) IS NOT NULL"""
 define("apply_changes", "users chg", APPLY_CHANGES)
+define("apply_few_changes", "users chg", APPLY_CHANGES)
 
 define(
     "migrate",

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from keyferry import schemas
 from keyferry.operators.changes import apply_folds, fold_changes, merge_folds
 from keyferry.operators.filters import KeyFilter, filter_keys
-from keyferry.operators.verify import BROADCAST_KEYS
+from keyferry.operators.limits import few_enough
 from keyferry.sources.keyspace import scan_keyspace
 from keyferry.streaming.sinks import read_batches, start, write_batch
 
@@ -22,9 +22,9 @@ def stream_new_keys(
     """Write each key the first time the stream shows it, unless the snapshot ``known`` has it.
 
     The known keys are the snapshot and what earlier micro-batches wrote; a replayed micro-batch sees the
-    same ones. Copies within a micro-batch are cut map-side. A micro-batch that is small by count is
-    broadcast to the known keys, which are then scanned by key column and not shuffled. Now and then,
-    restart with a new snapshot and folder, so that the number of batch folders stays moderate.
+    same ones. Copies within a micro-batch are cut map-side. A micro-batch found small is broadcast to
+    the known keys, which are then scanned by key column and not shuffled. Now and then, restart with a
+    new snapshot and folder, so that the number of batch folders stays moderate.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -35,7 +35,7 @@ def stream_new_keys(
                 earlier = read_batches(batch.sparkSession, path, schemas.KEYSPACE).filter(F.col("batch") < batch_id)
                 before = before.unionByName(earlier.select("key"))
             keys = fresh.select("key")
-            if fresh.count() <= BROADCAST_KEYS:
+            if few_enough(keys):
                 keys = F.broadcast(keys)
             seen = before.join(keys, "key", "left_semi").distinct()
             write_batch(fresh.join(seen, "key", "left_anti"), batch_id, path)
@@ -68,4 +68,5 @@ def read_folds(spark: SparkSession, path: str) -> DataFrame:
 
 def changed_target(spark: SparkSession, target: DataFrame, path: str, source: DataFrame | None = None) -> DataFrame:
     """The target with every change streamed so far."""
-    return apply_folds(target, read_folds(spark, path), source)
+    folds = read_folds(spark, path)
+    return apply_folds(target, folds, source, few=few_enough(folds))

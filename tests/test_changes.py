@@ -2,6 +2,7 @@ import datetime
 import random
 
 import pytest
+from conftest import plan_of
 
 from keyferry import schemas
 from keyferry.operators.changes import apply_changes, fold_changes, merge_folds
@@ -54,6 +55,7 @@ def test_fold_equals_replay(spark, keyspace, log):
     rng = random.Random(4)
     shuffled = rng.sample(log, len(log)) + log[:50]  # late, out of order, repeated
     assert state_of(apply_changes(base, events(spark, *shuffled))) == expected
+    assert state_of(apply_changes(base, events(spark, *shuffled), few=True)) == expected
 
 
 def test_folding_folds_changes_nothing(spark, log):
@@ -73,7 +75,11 @@ def test_rename_and_lookup(spark, keyspace):
         (4, 4, "expire", "x", None, 9, None),
         (5, 5, "expire", "absent", None, 9, None),
     )
-    assert state_of(apply_changes(target, log, source)) == {"new": ("moved", 0), "y": ("now", 30), "x": ("2", 9)}
+    expected = {"new": ("moved", 0), "y": ("now", 30), "x": ("2", 9)}
+    assert state_of(apply_changes(target, log, source)) == expected
+    few = apply_changes(target, log, source, few=True)
+    assert state_of(few) == expected
+    assert "LeftAnti, BuildRight" in plan_of(few)  # the untouched rows are not shuffled
 
 
 def test_stream_reaches_the_batch_state(spark, keyspace, log):

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyferry.llm import fingerprints, mixing, piece_codec, pii, secret_scan, token_count, topk, toxicity
+from keyferry.llm import fingerprints, mixing, ngram_join, piece_codec, pii, secret_scan, token_count, topk, toxicity
 from keyferry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))

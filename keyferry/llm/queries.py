@@ -5,7 +5,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyferry.llm import fingerprints, mixing, ngram_join, piece_codec, pii, secret_scan, token_count, topk, toxicity
+from keyferry.llm import (
+    fingerprints,
+    mixing,
+    ngram_join,
+    piece_codec,
+    pii,
+    repeats,
+    secret_scan,
+    token_count,
+    topk,
+    toxicity,
+)
 from keyferry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +132,9 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -20,15 +20,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; repeated rows of one id leave one row.
 
-    Documents without words link with nothing and all stay. Rows without an id have no smallest one: of a group
-    without any id nothing can be named, so its rows stay.
+    Documents without words link with nothing and all stay. Rows without an id cannot be named, so they stay too.
     """
     found = ngram_join.jaccard_components(docs)
-    gone = found.where("component_id <> doc_id OR doc_id IS NULL AND component_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    # doc_id is unique but for repeated rows, and these have no component of their own
-    with_id = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where("doc_id IS NULL"))
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    # a repeated row has its double's id and component
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

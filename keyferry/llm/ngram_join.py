@@ -231,7 +231,7 @@ def _sign(parts: int):
 
 
 def _meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one part, the sets that share a signature with another: signature, set, and how many share it."""
+    """Of one part, the groups of sets that share a signature: the group's name, set, and number of sets."""
     nodes, values = [], []
     for batch in frames:
         for packed in batch.column("packed"):
@@ -255,16 +255,15 @@ def _meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     values, nodes = values[new], nodes[new]
     starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
     counts = np.diff(np.append(starts, len(values)))
-    # groups of the same sets need to be looked at once
-    weight = mixed(nodes.view(np.uint64))
-    sums = np.add.reduceat(weight, starts)
-    _, first = np.unique(sums, return_index=True)
+    # groups of the same sets need to be looked at once, so a group is named by its sets
+    names = mixed(np.add.reduceat(mixed(nodes.view(np.uint64)), starts))
+    _, first = np.unique(names, return_index=True)
     keep = np.zeros(len(starts), dtype=bool)
     keep[first] = True
     rows = np.repeat(keep & (counts > 1), counts)
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(values[rows].view(np.int64)),
+            pa.array(np.repeat(names, counts)[rows].view(np.int64)),
             pa.array(nodes[rows]),
             pa.array(np.repeat(counts, counts)[rows].astype(np.int64)),
         ],
@@ -293,47 +292,58 @@ def _may_link(sketches: np.ndarray, sizes: np.ndarray, one: int, others: np.ndar
     return (apart <= most) & (np.abs(sizes[others] - sizes[one]) <= most)
 
 
-def _pairs(every: bool):
-    """Candidate pairs among the sets of a signature (or two pieces of them).
+def _group_pairs(nodes: np.ndarray, sizes: np.ndarray, held: list[bytes], component: np.ndarray | None):
+    """Candidate pairs among the sets of a group, or of two pieces of one.
 
-    Either of the middle set, which has the sketch nearest to most others, with all others; or of all sets that lie in
-    different components so far.
+    Without components those of the middle set, which has the sketch nearest to most others, with all others; else all
+    pairs of sets in different components.
     """
-
-    def pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(frames))
-        nodes = whole.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        nodes = nodes[order]
-        fresh = np.append(True, nodes[1:] != nodes[:-1])
-        order, nodes = order[fresh], nodes[fresh]
-        sizes = whole.column("n_shingles").to_numpy()[order]
-        held = whole.column("sketch").to_pylist()
-        sketches = _folded([held[i] for i in order.tolist()])
-        everyone = np.arange(len(nodes))
-        a, b = [], []
-        if every:
-            component = whole.column("component").to_numpy()[order]
-            if (component == component[0]).all():
-                return
-            by_component = np.argsort(component, kind="stable")
-            for n, i in enumerate(by_component.tolist()):
-                others = by_component[n + 1 :]
-                others = others[component[others] != component[i]]
-                others = others[_may_link(sketches, sizes, i, others)]
-                a.append(nodes[others])
-                b.append(np.full(len(others), nodes[i]))
-        else:
+    if component is not None and (component == component[0]).all():
+        return
+    sketches = _folded(held)
+    if component is None:
+        middle = 0
+        if len(nodes) > 2:
             bits = np.unpackbits(sketches.view(np.uint8), axis=1)
             middle = int(np.argmin((bits != (bits.mean(0) > 0.5)).sum(1)))
-            others = everyone[everyone != middle]
-            others = others[_may_link(sketches, sizes, middle, others)]
-            a.append(nodes[others])
-            b.append(np.full(len(others), nodes[middle]))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    return pairs
+        others = np.delete(np.arange(len(nodes)), middle)
+        others = others[_may_link(sketches, sizes, middle, others)]
+        yield np.minimum(nodes[others], nodes[middle]), np.maximum(nodes[others], nodes[middle])
+        return
+    by_component = np.argsort(component, kind="stable")
+    for n, i in enumerate(by_component[:-1].tolist()):
+        others = by_component[n + 1 :]
+        others = others[component[others] != component[i]]
+        if len(others):
+            others = others[_may_link(sketches, sizes, i, others)]
+            yield np.minimum(nodes[others], nodes[i]), np.maximum(nodes[others], nodes[i])
+
+
+def _bucket_pairs(bucket: pa.Table) -> pa.Table:
+    """The distinct candidate pairs of all groups that lie in a bucket."""
+    keys = [bucket.column(c).to_numpy() for c in ("signature", "low", "high", "node")]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
+    order, keys = order[new], [k[new] for k in keys]
+    starts = np.append(True, np.any([k[1:] != k[:-1] for k in keys[:3]], axis=0))
+    cuts = np.append(np.flatnonzero(starts), len(order)).tolist()
+    nodes, sizes = keys[3], bucket.column("n_shingles").to_numpy()[order]
+    held = bucket.column("sketch").to_pylist()
+    component = bucket.column("component").to_numpy()[order] if "component" in bucket.column_names else None
+    pairs = [
+        pair
+        for x, y in zip(cuts, cuts[1:])
+        if y - x > 1
+        for pair in _group_pairs(
+            nodes[x:y],
+            sizes[x:y],
+            [held[i] for i in order[x:y].tolist()],
+            None if component is None else component[x:y],
+        )
+    ]
+    found = np.unique(np.concatenate([np.stack(p, 1) for p in pairs]), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
 
 def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,11 +403,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         texts.mapInArrow(_describe, "doc_id long, n_shingles long, node long, sketch binary")
     )
     parts = 4 * shuffle_partitions(spark)
+    # the same sets may share signatures of several parts
     shared = checkpointed(
         texts.select("text")
         .mapInArrow(_sign(parts), "part int, packed binary")
         .groupBy("part")
         .applyInArrow(_met_in_part, "signature long, node long, members long")
+        .dropDuplicates(["signature", "node"])
     )
     known = described.where("node IS NOT NULL").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
 
@@ -412,8 +424,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .withColumn("high", F.greatest("own", "other"))
         )
 
-    grouped = pieces(shared.join(known, "node")).select("signature", "low", "high", "node", "n_shingles", "sketch")
-    stars = grouped.groupBy("signature", "low", "high").applyInArrow(_star_pairs, "a long, b long").distinct()
+    def candidate_pairs(members: DataFrame, *more: str) -> DataFrame:
+        """Many groups to a bucket, which is a task's unit of work."""
+        rows = pieces(members).select("signature", "low", "high", "node", "n_shingles", "sketch", *more)
+        bucket = F.pmod(F.xxhash64("signature", "low", "high"), F.lit(4 * parts))
+        return rows.groupBy(bucket.alias("bucket")).applyInArrow(_bucket_pairs, "a long, b long").distinct()
+
+    stars = candidate_pairs(shared.join(known, "node"))
     links = _verified(checkpointed(stars), described, texts)
     first = checkpointed(connected(links))
     located = shared.join(first.withColumnRenamed("id", "node"), "node", "left").select(
@@ -424,10 +441,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .agg(F.min("component").alias("least"), F.max("component").alias("most"))
         .where("least < most")
     )
-    rest = pieces(located.join(open_groups.select("signature"), "signature", "left_semi").join(known, "node")).select(
-        "signature", "low", "high", "node", "n_shingles", "sketch", "component"
-    )
-    others = rest.groupBy("signature", "low", "high").applyInArrow(_other_pairs, "a long, b long").distinct()
+    rest = located.join(open_groups.select("signature"), "signature", "left_semi").join(known, "node")
+    others = candidate_pairs(rest, "component")
     more = _verified(checkpointed(others), described, texts)
     roots = connected(links.unionByName(more)).select(F.col("id").alias("node"), "component")
     rooted = described.join(roots, "node", "left").select(
@@ -453,5 +468,3 @@ def _as_group(function, names: list[str], kinds: list[pa.DataType]):
 
 
 _met_in_part = _as_group(_meet, ["signature", "node", "members"], [pa.int64()] * 3)
-_star_pairs = _as_group(_pairs(False), ["a", "b"], [pa.int64()] * 2)
-_other_pairs = _as_group(_pairs(True), ["a", "b"], [pa.int64()] * 2)

@@ -73,7 +73,7 @@ def odd_texts():
         "é" * 150 + "日本 🎉" * 40,
         "é" * 150 + "日本 🎉" * 40 + "\x00",
         prose(rng, 20_000),
-        "mail a.b@c.de, x@y, a@b.c@d.e@f.gh 1.2.3.4.5.6.7.8 999.1.1.1 4111 1111 1111 1111 +49 (30) 123-4567 00001.2.3.4",
+        "mail a.b@c.de, x@y, a@b.c@d.e@f.gh 1.2.3.4.5.6.7.8 999.1.1.1, card 4111 1111 1111 1111 +49 (30) 123-4567 00001.2.3.4",
         'password: "abcdefghijkl" token=token: abcdefghijklmnop AKIAABCDEFGHIJKLMN0 deadbeefdeadbeef  Secret = = x',
         "IBAN DE89 3704 0044 0532 0130 00, ssn 123-45-6789" + " and" * 20 + ", order 123-45-6789",
         " ".join("token=abcdefghijkl%d" % i for i in range(1500)),

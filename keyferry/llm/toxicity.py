@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, of_class: int = SAMPLE_OF_CLASS) ->
         )
 
     sample = training_sample(docs, labels, of_class)
-    row = sample.coalesce(1).mapInArrow(learn, "features binary, weights binary, intercept double").first()
+    # a shuffle of the few sampled rows; coalesce would read the whole table in one task
+    row = sample.repartition(1).mapInArrow(learn, "features binary, weights binary, intercept double").first()
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
     if row is None:
         return Model(weights, -4.0)

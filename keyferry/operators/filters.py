@@ -1,11 +1,11 @@
 """Key filters by prefix, pattern, substring or key list."""
 
-import re
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyferry.functions.slots import slot
@@ -32,10 +32,18 @@ class KeyFilter:
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}, not {self.mode!r}")
         for pattern in [*self.exclude_patterns, *(self.include if self.mode == "pattern" else [])]:
-            try:
-                re.compile(pattern)
-            except re.error as error:
-                raise ValueError(f"invalid pattern {pattern!r}: {error}") from error
+            _check(pattern)
+
+
+def _check(pattern: str) -> None:
+    """Refuse a pattern that Spark cannot match with."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            # a constant row: folded while the plan is made, no job
+            spark.sql("SELECT 1").select(F.lit("").rlike(pattern)).collect()
+        except PySparkException as error:
+            raise ValueError(f"invalid pattern {pattern!r}") from error
 
 
 def _any(conditions: list[Column]) -> Column:

@@ -14,7 +14,6 @@ RUNS_KEPT = 3
 MAX_RETRIES = 3
 FULL_RETRY_MS = 100
 INCREMENTAL_RETRY_MS = 1000
-MAX_PAGE_SIZE = 100
 DEFAULT_PAGE_SIZE = 20
 # Width of the sequence ranges counted to find the first rows of a run.
 SEQ_BLOCK = 4096
@@ -73,8 +72,13 @@ def dead_letters(resolved: DataFrame) -> DataFrame:
     return resolved.filter(F.col("outcome") == "failed")
 
 
-def cap_error_keys(errors: DataFrame, cap: int = ERROR_KEY_CAP) -> DataFrame:
-    """The first ``cap`` error rows of every run, in order of ``seq`` and key."""
+def cap_error_keys(errors: DataFrame, cap: int | None = None) -> DataFrame:
+    """The first ``cap`` error rows of every run, in order of ``seq`` and key; all without a number.
+
+    ``ERROR_KEY_CAP`` is the usual one. Rows without a ``seq`` come first.
+    """
+    if cap is None:
+        return errors
     return first_per_group(errors, "task_id", ["seq", "key"], cap, bucket=F.floor(F.col("seq") / SEQ_BLOCK))
 
 
@@ -114,9 +118,10 @@ def cascade_delete(deleted: DataFrame, children: dict[str, DataFrame]) -> dict[s
 
 
 def list_runs(runs: DataFrame, status: str | None = None, page: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """A page of runs, newest first, each row with the ``total`` of matching runs."""
+    """A page of ``size`` runs, newest first, each row with the ``total`` of matching runs."""
+    if size < 1:
+        raise ValueError(f"a page holds one run at least, not {size}")
     page = max(page, 1)
-    size = size if 1 <= size <= MAX_PAGE_SIZE else DEFAULT_PAGE_SIZE
     found = runs.filter(F.col("status") == status) if status else runs
     total = found.agg(F.count("*").alias("total")).scalar()
     paged = found.orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * size).limit(size)

@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyferry.functions.ranking import top_rows
@@ -45,29 +46,41 @@ def filter_logs(logs: DataFrame, wanted: LogFilter) -> DataFrame:
     return logs
 
 
+# Newest first; rows without an id come last.
+NEWEST = ("id", "timestamp", "message")
+
+
 def newest_logs(logs: DataFrame, n: int) -> DataFrame:
-    return top_rows(logs, [F.desc("id")], n, bucket=F.floor(F.col("id") / ID_BLOCK), bucket_desc=True)
+    order = [F.desc(c) for c in NEWEST]
+    return top_rows(logs, order, n, bucket=F.floor(F.col("id") / ID_BLOCK), bucket_desc=True)
 
 
-def retain_logs(logs: DataFrame, keep: int = LOGS_KEPT) -> DataFrame:
-    """The newest ``keep`` log rows."""
-    return newest_logs(logs, keep)
+def retain_logs(logs: DataFrame, keep: int | None = None) -> DataFrame:
+    """The newest ``keep`` log rows; all without a number. ``LOGS_KEPT`` is the usual one."""
+    return logs if keep is None else newest_logs(logs, keep)
 
 
 def search_logs(logs: DataFrame, wanted: LogFilter = LogFilter(), offset: int = 0, limit: int = 0) -> DataFrame:
     """Matching log rows, newest first, each with the ``total`` of matches; ``limit`` 0 returns all.
 
-    Without a limit the rows before the offset are skipped by id, so the rest stays distributed.
+    Without a limit the rows before the offset are skipped by id, so the rest stays distributed. Only rows without an id,
+    which come last, are numbered to be skipped.
     """
     found = filter_logs(logs, wanted)
+    newest = [F.desc(c) for c in NEWEST]
     total = found.agg(F.count("*").alias("total")).scalar()
     page = found
     if limit:
-        page = newest_logs(found, offset + limit).orderBy(F.desc("id")).offset(offset)
+        page = newest_logs(found, offset + limit).orderBy(*newest).offset(offset)
     elif offset:
         last_skipped = newest_logs(found, offset).agg(F.min("id").alias("id")).scalar()
-        page = found.filter(F.col("id") < last_skipped)
-    return page.orderBy(F.desc("id")).withColumn("total", total)
+        with_id = found.agg(F.count("id").alias("rows")).scalar()
+        number = F.row_number().over(W.orderBy(*newest))
+        bare = found.filter(F.col("id").isNull()).withColumn("_number", number)
+        page = found.filter(F.col("id") < last_skipped).unionByName(
+            bare.filter(F.col("_number") + with_id > offset).drop("_number")
+        )
+    return page.orderBy(*newest).withColumn("total", total)
 
 
 def log_level_stats(logs: DataFrame) -> DataFrame:

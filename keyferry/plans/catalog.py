@@ -81,12 +81,6 @@ def change_feed(spark, sf):
     return rows.select("node_id", "key", "op", "value", "ttl_s", F.unix_micros("ts").alias("ts_us"), "offset")
 
 
-@query
-def generate_keyspace(spark, sf):
-    made = keyspace.generate_keyspace(views.generator_rows(spark, sf), large_size=100_000, string_size=400, item_size=100)
-    return made.select("key", "type", octets(F.col("value")).alias("bytes"), digest(F.col("value")).alias("digest"))
-
-
 @query
 def write_snapshot(spark, sf):
     path = scratch_path(spark, "snapshot")
@@ -506,7 +500,7 @@ def resume_slots(spark, sf):
 
 @query
 def cap_error_keys(spark, sf):
-    return history.cap_error_keys(_errors(spark, sf))
+    return history.cap_error_keys(_errors(spark, sf), history.ERROR_KEY_CAP)
 
 
 @query

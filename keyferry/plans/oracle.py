@@ -179,35 +179,12 @@ define("scan_node_info", "reports nodes", "SELECT * FROM nodes")
 define(
     "scan_log_text",
     "logs",
-    """SELECT timestamp, level, substr(request_id, 1, 8) AS request_id, substr(task_id, 1, 8) AS task_id, source, message,
+    """SELECT timestamp, level, request_id, task_id, source, message,
          fields FROM logs""",
 )
 define("change_feed", "chg", 'SELECT node_id, key, op, value, ttl_s, epoch_us(ts) AS ts_us, "offset" FROM chg')
 
 
-def filler(seed: str, size: int) -> str:
-    return f"substr(repeat(md5({seed}), {size // 32 + 1}), 1, {size})"
-
-
-ITEMS = f"list_transform(range(0, 10), lambda i: {filler('key || chr(35) || i', 100)})"
-define(
-    "generate_keyspace",
-    "",
-    f"""
-  SELECT key, type, strlen(value)::BIGINT AS bytes, md5(value) AS digest FROM (
-    SELECT key, type, CASE kind WHEN 'string' THEN {filler('key', 400)} WHEN 'large' THEN {filler('key', 100_000)}
-      WHEN 'hash' THEN to_json(list_transform(range(0, 10),
-        lambda i: {{'key': 'field_' || i, 'value': ({ITEMS})[i + 1]}}))::VARCHAR
-      WHEN 'list' THEN to_json({ITEMS})::VARCHAR
-      ELSE to_json(list_sort({ITEMS}))::VARCHAR END AS value
-    FROM (
-      SELECT 'string' AS kind, 'string' AS type, 'str_key_' || o_orderkey AS key FROM orders
-      UNION ALL SELECT 'large', 'string', 'large_str_' || n_nationkey FROM nation
-      UNION ALL SELECT 'hash', 'hash', 'hash_key_' || p_partkey FROM part
-      UNION ALL SELECT 'list', 'list', 'list_key_' || c_custkey FROM customer
-      UNION ALL SELECT 'set', 'set', 'set_key_' || s_suppkey FROM supplier))""",
-)
-
 MERGED_SKIP = f"""
   SELECT {KEYSPACE} FROM tgt
   UNION ALL SELECT key, type, value, greatest(ttl_s, 0), node FROM src WHERE key NOT IN (SELECT key FROM tgt)"""
@@ -248,7 +225,7 @@ define(
          || '"' AS value FROM errors""",
 )
 derive("failing", "SELECT * FROM logs WHERE level = 'ERROR' AND contains(lower(message), 'err')")
-LINE = """'[' || timestamp || '] [' || level || '] [req:' || substr(request_id, 1, 8) || '] [task:' || substr(task_id, 1, 8)
+LINE = """'[' || timestamp || '] [' || level || '] [req:' || request_id || '] [task:' || task_id
   || '] [' || source || '] ' || message || ' ' || fields"""
 define(
     "export_logs_text",

@@ -359,22 +359,3 @@ def node_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(node % 11 == 0, 300).otherwise(10_000).alias("maxclients"),
         F.inline(rows),
     )
-
-
-def generator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generator plan whose counts come from the tables."""
-    kinds = {
-        "string": ("orders", "o_orderkey"),
-        "large": ("nation", "n_nationkey"),
-        "hash": ("part", "p_partkey"),
-        "list": ("customer", "c_custkey"),
-        "set": ("supplier", "s_suppkey"),
-    }
-    plans = [
-        table(spark, sf_dir, name).select(lit(kind).alias("kind"), col(number).cast("long").alias("id"))
-        for kind, (name, number) in kinds.items()
-    ]
-    first, *rest = plans
-    for plan in rest:
-        first = first.unionByName(plan)
-    return first

@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the line format.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
-ID_LENGTH = 8
 LINE_PATTERN = (
-    r"^\[([^\]]*)\] \[([A-Z]+)\](?: \[req:([^\]]*)\])?(?: \[task:([^\]]*)\])?(?: \[([^\]]*)\])?"
+    r"(?s)^\[([^\]]*)\] \[([A-Z]+)\](?: \[req:([^\]]*)\])?(?: \[task:([^\]]*)\])?(?: \[([^\]]*)\])?"
     r" (.*?)(?: (\{\".*\}))?$"
 )
 EXPORT_TITLE = "=== Log Export ==="
@@ -36,19 +35,25 @@ def read_log_text(spark: SparkSession, path: str) -> DataFrame:
     return scan_log_text(spark.read.text(path))
 
 
-def log_line(stacks: bool = False) -> Column:
-    """The text line of a log row, followed by its stack when ``stacks`` is set."""
+def log_line(stacks: bool = False, id_length: int | None = None) -> Column:
+    """The text line of a log row, followed by its stack when ``stacks`` is set.
+
+    Request and task ids are written whole, or cut to ``id_length`` characters. A null message is an empty one.
+    """
+
+    def shown(name: str) -> Column:
+        return F.substring(name, 1, id_length) if id_length else F.col(name)
 
     def tagged(text: Column, prefix: str = "") -> Column:
         return F.when(F.length(text) > 0, F.concat(F.lit(f" [{prefix}"), text, F.lit("]")))
 
     line = F.concat(
         F.format_string("[%s] [%s]", "timestamp", "level"),
-        F.coalesce(tagged(F.substring("request_id", 1, ID_LENGTH), "req:"), F.lit("")),
-        F.coalesce(tagged(F.substring("task_id", 1, ID_LENGTH), "task:"), F.lit("")),
+        F.coalesce(tagged(shown("request_id"), "req:"), F.lit("")),
+        F.coalesce(tagged(shown("task_id"), "task:"), F.lit("")),
         F.coalesce(tagged(F.col("source")), F.lit("")),
         F.lit(" "),
-        F.col("message"),
+        F.coalesce("message", F.lit("")),
         F.coalesce(F.when(F.length("fields") > 0, F.concat(F.lit(" "), F.col("fields"))), F.lit("")),
     )
     if not stacks:

@@ -53,7 +53,7 @@ def test_key_list_file(spark, rows, tmp_path):
     assert kept(rows, KeyFilter("keys", key_table=listed)) == {"cache", "user:2"}
 
 
-def test_bad_arguments():
+def test_bad_arguments(spark):
     with pytest.raises(ValueError, match="invalid pattern"):
         KeyFilter("pattern", ["("])
     with pytest.raises(ValueError, match="invalid pattern"):
@@ -75,3 +75,8 @@ def test_slots(rows):
     foo = rows.withColumn("key", F.concat(F.lit("{foo}"), "key"))
     assert select_in_slots(foo, 12182).count() == len(KEYS)
     assert select_in_slots(foo, 0, 12181).count() == 0
+
+
+def test_patterns_of_the_engine_that_matches(keyspace):
+    rows = keyspace(("abc", "1"), ("12", "2"), ("ab\n", "3"))
+    assert kept(rows, KeyFilter("pattern", [r"^\p{L}+\z"])) == {"abc"}

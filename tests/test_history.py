@@ -48,7 +48,9 @@ def test_retention(spark, runs):
 
 def test_pages(runs):
     page = history.list_runs(runs, page=-3, size=1000).collect()
-    assert [r.id for r in page] == [f"r{i}" for i in range(44, 24, -1)] and page[0].total == 45
+    assert [r.id for r in page] == [f"r{i}" for i in range(44, -1, -1)] and page[0].total == 45
+    with pytest.raises(ValueError, match="one run at least"):
+        history.list_runs(runs, size=0)
     assert [r.id for r in history.list_runs(runs, "completed", 3, 20).collect()] == [f"r{i}" for i in range(4, 0, -1)]
 
 

@@ -43,8 +43,8 @@ def test_log_text_round_trip(spark, tmp_path):
     parsed = logs.read_log_text(spark, str(tmp_path / "text")).orderBy("timestamp").collect()
     assert [(r.level, r.request_id, r.task_id, r.source, r.message, r.fields) for r in parsed] == [
         ("INFO", None, None, "main.go:1", "started", None),
-        ("ERROR", "01234567", "abcdefgh", "x.go:2", "bad {brace", '{"k":"v"}'),
-        ("WARN", None, "abcdefgh", None, "no source", None),
+        ("ERROR", "0123456789", "abcdefghij", "x.go:2", "bad {brace", '{"k":"v"}'),
+        ("WARN", None, "abcdefghij", None, "no source", None),
     ]
     newest = [r.value for r in writers.log_export_lines(table, NOW).collect()]
     assert newest[0].startswith(logs.EXPORT_TITLE) and "no source" in newest[1]

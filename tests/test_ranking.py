@@ -70,3 +70,27 @@ def test_log_pages(spark):
         got = search_logs(logs, LogFilter(task_id="t1"), offset, limit).collect()
         assert [r.id for r in got] == ids[offset : offset + limit if limit else None]
         assert all(r.total == 1500 for r in got)
+
+
+def test_null_order_values_at_every_size(spark):
+    rows = [(None if i % 10 == 0 else i, f"m{i}") for i in range(400)]
+    table = spark.createDataFrame(rows, "id long, m string")
+    bucket = F.floor(F.col("id") / 16)
+    for k in (5, 50, 100, 101, 150, 370, 399, 400, 500):
+        down = top_rows(table, [F.desc("id")], k, bucket, bucket_desc=True).collect()
+        up = top_rows(table, [F.asc("id")], k, bucket).collect()
+        assert len(down) == len(up) == min(k, 400)
+        assert sum(r.id is None for r in down) == max(0, min(k, 400) - 360)
+        assert sum(r.id is None for r in up) == min(k, 40)
+        capped = first_per_group(table.withColumn("g", F.lit("a")), "g", ["id", "m"], k, bucket).collect()
+        assert {r.m for r in capped} == {r.m for r in table.withColumn("g", F.lit("a")).orderBy("id", "m").limit(k).collect()}
+
+
+def test_log_pages_with_rows_without_an_id(spark):
+    rows = [(None if i % 7 == 0 else i, f"t{i:03}", "INFO", f"m{i}", None, None, "t", None, None) for i in range(350)]
+    logs = spark.createDataFrame(rows, schemas.LOG)
+    whole = [r.message for r in search_logs(logs).collect()]
+    assert len(whole) == 350
+    for offset in (1, 120, 299, 300, 310, 349, 350):
+        assert [r.message for r in search_logs(logs, offset=offset).collect()] == whole[offset:]
+        assert [r.message for r in search_logs(logs, offset=offset, limit=30).collect()] == whole[offset : offset + 30]

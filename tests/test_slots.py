@@ -89,3 +89,8 @@ def test_buckets_are_contiguous(spark):
     assert len(widths) == 64 and {w.n for w in widths} == {256}
     with pytest.raises(ValueError):
         slot_bucket(F.col("id"), 0)
+
+
+def test_slot_of_bytes_that_are_no_text(spark):
+    key = F.expr("cast(X'FF41' AS string)")
+    assert spark.range(1).select(slot(key).alias("s")).first().s == 6938

@@ -1,5 +1,6 @@
 """Encoding and decoding with merge-type piece vocabularies, by a score-ordered agenda of adjacent symbol pairs."""
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -8,27 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyferry.llm.common import Recent, once_per_worker, resolved, whole_text
-from keyferry.llm.pieces import SPACE, Vocabulary, merged_parts, read_vocabulary, units_of
+from keyferry.llm.pieces import SPACE, Vocabulary, merged_parts, read_vocabulary, words_of
 
 
 def encode_unit(unit: str, vocabulary: Vocabulary) -> list[int]:
     """The ids of one unit: the agenda's best pair is joined until no pair is a piece; the rest falls back to bytes."""
-    ids: list[int] = []
-    for symbol in merged_parts(unit, vocabulary.ranks):
-        if symbol:
-            found = vocabulary.ids.get(symbol)
-            if found is None:
-                ids += [vocabulary.byte_ids[b] for b in symbol.encode()]
-            else:
-                ids.append(found)
-    return ids
+    symbols = list(filter(None, merged_parts(unit, vocabulary.ranks)))
+    ids = list(map(vocabulary.ids.get, symbols))
+    if None not in ids:
+        return ids
+    found: list[int] = []
+    for symbol, i in zip(symbols, ids):
+        found += [i] if i is not None else [vocabulary.byte_ids[b] for b in symbol.encode()]
+    return found
 
 
 def encoder(vocabulary: Vocabulary) -> Callable[[str], bytes]:
     """A function from a whole text to its ids, as the bytes of 32-bit integers."""
 
-    kept = Recent(lambda unit: np.array(encode_unit(unit, vocabulary), dtype=np.int32).tobytes())
-    return lambda text: b"".join(map(kept.__getitem__, units_of(text)))
+    kept = Recent(lambda word: array("i", encode_unit(SPACE + word, vocabulary)).tobytes())
+    return lambda text: b"".join(map(kept.__getitem__, words_of(text)))
 
 
 def decode_ids(ids, vocabulary: Vocabulary) -> str:

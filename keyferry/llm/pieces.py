@@ -4,6 +4,7 @@ import re
 import struct
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from operator import add
 
 from keyferry.llm.common import resolved
 
@@ -11,7 +12,7 @@ SPACE = "▁"  # stands for a blank inside pieces
 # Piece types of the model file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Runs of blanks go with what follows: no piece of the vocabulary has a blank after another character.
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+UNIT = re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)")
 
 
 @dataclass(frozen=True)
@@ -92,9 +93,16 @@ def read_vocabulary(path: str) -> Vocabulary:
     )
 
 
-def units_of(text: str) -> list[str]:
-    """The parts of a text that no piece spans, in order; an empty text has none."""
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def words_of(text: str) -> list[str]:
+    """The parts of a text that no piece spans, in order, each without the blank's mark that it begins with.
+
+    A text starts with a blank's mark, so every part does. An empty text has no parts.
+    """
+    if not text:
+        return []
+    if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+        return UNIT.findall(SPACE + text.replace(" ", SPACE))
+    return text.split(" ")
 
 
 def merged_parts(unit: str, ranks: dict[str, int]) -> list[str]:
@@ -108,8 +116,7 @@ def merged_parts(unit: str, ranks: dict[str, int]) -> list[str]:
     get = ranks.get
     standing = [-1] * n
     heap = []
-    for i, pair in enumerate(map(str.__add__, parts, parts[1:])):
-        rank = get(pair)
+    for i, rank in enumerate(map(get, map(add, unit, unit[1:]))):
         if rank is not None:
             standing[i] = key = rank | i
             heap.append(key)

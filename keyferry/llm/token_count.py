@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyferry.llm.common import Recent, once_per_worker, utf8_of, whole_text
-from keyferry.llm.pieces import Vocabulary, merged_parts, read_vocabulary, units_of
+from keyferry.llm.pieces import SPACE, Vocabulary, merged_parts, read_vocabulary, words_of
 
 def unit_tokens(unit: str, vocabulary: Vocabulary) -> int:
     """Initial symbols minus merges, where a character outside the vocabulary counts its bytes."""
@@ -20,8 +20,8 @@ def unit_tokens(unit: str, vocabulary: Vocabulary) -> int:
 def counter(vocabulary: Vocabulary) -> Callable[[str], int]:
     """A function from a whole text to its number of tokens."""
 
-    kept = Recent(lambda unit: unit_tokens(unit, vocabulary))
-    return lambda text: sum(map(kept.__getitem__, units_of(text)))
+    kept = Recent(lambda word: unit_tokens(SPACE + word, vocabulary))
+    return lambda text: sum(map(kept.__getitem__, words_of(text)))
 
 
 def counts_column(text: str | Column, path: str) -> Column:

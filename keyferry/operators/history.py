@@ -102,7 +102,7 @@ def error_key_stats(errors: DataFrame, large: DataFrame | None = None) -> DataFr
 def retain_runs(runs: DataFrame, keep: int = RUNS_KEPT) -> DataFrame:
     """The ``keep`` newest runs and every running one."""
     newest = runs.select("id", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(keep)
-    marked = F.broadcast(newest.select("id", F.lit(True).alias("_newest")))
+    marked = newest.select("id", F.lit(True).alias("_newest"))
     kept = runs.join(marked, "id", "left").filter(F.col("_newest").isNotNull() | (F.col("status") == "running"))
     return kept.drop("_newest")
 

@@ -1,6 +1,6 @@
 """Large values: finding them, cutting them into parts and following the parts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyferry.functions.ranking import top_rows
@@ -27,18 +27,19 @@ def large_key_counts(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> Dat
 def split_large_values(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, part_bytes: int = DEFAULT_PART) -> DataFrame:
     """Numbered parts of ``part_bytes`` bytes, each with its MD5.
 
-    Only part numbers are exploded and each part is cut from the bytes at its offset, so a value is
-    neither copied per part nor walked from its start.
+    A value is turned into bytes once and cut at all offsets before the parts become rows; with the cast
+    after the explode, every part would copy the whole value again.
     """
-    data = F.col("value").cast("binary")
-    start = F.col("part_no") * part_bytes
-    part = F.substring(data, start + 1, part_bytes)
     sized = rows.withColumn("total_bytes", octets(F.col("value"))).filter(F.col("total_bytes") >= threshold)
     last = F.floor((F.greatest(F.col("total_bytes"), F.lit(1)) - 1) / part_bytes).cast("int")
+
+    def cut(data: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda n: F.substring(data, n * part_bytes + 1, part_bytes))
+
+    # an element of an array is evaluated once for all uses in the function
+    pieces = F.transform(F.array(F.col("value").cast("binary")), cut)[0]
     return (
-        sized.select("key", "type", "value", "total_bytes", (last + 1).alias("parts"), F.sequence(F.lit(0), last).alias("n"))
-        .select("key", "type", "value", "total_bytes", "parts", F.explode("n").alias("part_no"))
-        .select("key", "type", "total_bytes", "parts", "part_no", part.alias("data"))
+        sized.select("key", "type", "total_bytes", (last + 1).alias("parts"), F.posexplode(pieces).alias("part_no", "data"))
         .withColumn("part_bytes", F.octet_length("data").cast("long"))
         .withColumn("checksum", digest(F.col("data")))
     )

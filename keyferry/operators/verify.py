@@ -80,8 +80,13 @@ def verify_by_group(rows: DataFrame, group: Column | str) -> DataFrame:
 
 def verify_full(source: DataFrame, target: DataFrame) -> DataFrame:
     """Every key of either side: ``matched``, ``mismatched``, ``missing`` or ``extra``."""
-    left = _digests(source, False).select("key", F.col("type").alias("_st"), F.col("digest").alias("_sd"))
-    right = _digests(target, False).select("key", F.col("type").alias("_tt"), F.col("digest").alias("_td"))
+    return _compare_all(_digests(source, False), _digests(target, False))
+
+
+def _compare_all(source: DataFrame, target: DataFrame) -> DataFrame:
+    """``verify_full`` over digests that have been taken."""
+    left = source.select("key", F.col("type").alias("_st"), F.col("digest").alias("_sd"))
+    right = target.select("key", F.col("type").alias("_tt"), F.col("digest").alias("_td"))
     source_side = F.struct(F.col("_st").alias("type"), F.col("_sd").alias("digest"))
     target_side = F.struct(F.col("_tt").alias("type"), F.col("_td").alias("digest"))
     status = F.when(F.col("_st").isNull(), "extra").otherwise(
@@ -110,10 +115,13 @@ def verify_two_level(source: DataFrame, target: DataFrame, group: Column, n: int
     """
     sampled = verify_by_group(verify_rows(sample_keys(source, n), target, sample_size=n), group)
     failing = sampled.filter(F.col("matched_keys") < F.col("total_keys")).select("group")
-    suspects = [side.withColumn("group", group).join(failing, "group", "left_semi") for side in (source, target)]
+    # digests come before the join on groups, so that no value is shuffled by a key with few values
+    suspects = [
+        _digests(side, False).withColumn("group", group).join(failing, "group", "left_semi") for side in (source, target)
+    ]
     own = F.col("status") != "extra"
     checked = (
-        verify_full(*suspects)
+        _compare_all(*suspects)
         .groupBy(group.alias("group"))
         .agg(F.count_if(own).alias("total_keys"), *_counts()[1:], F.count_if(~own).alias("extra_keys"))
         .withColumn("consistency_rate", _rate())

@@ -38,13 +38,13 @@ def first_per_group(df: DataFrame, group: str, order: list[str], k: int, bucket:
         earlier = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
         reached = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         last = reached.filter(F.col("_before") < k).groupBy(group).agg(F.max("_bucket").alias("_last"))
-        df = _join_whole(df, last, [group])
+        df = join_whole(df, last, [group])
         df = df.filter(bucket.isNull() | (bucket <= F.col("_last"))).drop("_last")
     rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _join_whole(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+def join_whole(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Join on keys that may be null, keeping the columns of ``df`` and the new ones of ``other``."""
     other = other.withColumnsRenamed({key: f"_of_{key}" for key in keys})
     same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
@@ -63,7 +63,7 @@ def with_position(df: DataFrame, group: str, order: str, block: int) -> DataFram
     before = counts.select(group, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     local = F.row_number().over(W.partitionBy(group, "_block").orderBy(order))
     return (
-        _join_whole(blocked.withColumn("_local", local), before, [group, "_block"])
+        join_whole(blocked.withColumn("_local", local), before, [group, "_block"])
         .withColumn("position", (F.col("_before") + F.col("_local")).cast("long"))
         .drop("_block", "_local", "_before")
     )

@@ -76,7 +76,7 @@ def scan_log_text(spark, sf):
 def change_feed(spark, sf):
     path = scratch_path(spark, "change-feed")
     feed = views.changes_of(views.table_stream(spark, sf, "events"))
-    drain(reports.append_closed(feed, f"{path}/rows", f"{path}/checkpoint", DRAIN))
+    drain(reports.append_rows(feed, f"{path}/rows", f"{path}/checkpoint", DRAIN))
     rows = spark.read.schema(feed.schema).parquet(f"{path}/rows")
     return rows.select("node_id", "key", "op", "value", "ttl_s", F.unix_micros("ts").alias("ts_us"), "offset")
 
@@ -640,20 +640,18 @@ def stream_progress(spark, sf):
     return reports.read_progress(spark, f"{path}/rows")
 
 
-def _closed(spark, windows, name):
-    path = scratch_path(spark, name)
-    drain(reports.append_closed(windows, f"{path}/rows", f"{path}/checkpoint", DRAIN))
-    return spark.read.schema(windows.schema).parquet(f"{path}/rows")
-
-
 @query
 def stream_throughput(spark, sf):
-    return _closed(spark, reports.throughput(_progress_stream(spark, sf)), "throughput")
+    path = scratch_path(spark, "throughput")
+    drain(reports.stream_throughput(_progress_stream(spark, sf), f"{path}/rows", f"{path}/checkpoint", trigger=DRAIN))
+    return reports.read_throughput(spark, f"{path}/rows")
 
 
 @query
 def liveness_sessions(spark, sf):
-    return _closed(spark, reports.liveness_sessions(_progress_stream(spark, sf)), "sessions")
+    path = scratch_path(spark, "sessions")
+    drain(reports.stream_sessions(_progress_stream(spark, sf), f"{path}/rows", f"{path}/checkpoint", trigger=DRAIN))
+    return reports.read_sessions(spark, f"{path}/rows")
 
 
 @query

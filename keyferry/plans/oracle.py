@@ -739,27 +739,23 @@ define(
   SELECT task_id, worker_id, sum(keys_processed)::BIGINT AS keys, sum(bytes_sent)::BIGINT AS bytes,
     sum(error_count)::BIGINT AS errors FROM prog GROUP BY task_id, worker_id""",
 )
-# A window or session is closed once its end is not after the watermark: the newest event less one minute.
-WATERMARK = "(SELECT epoch_ms(max(ts)) * 1000 - 60000000 FROM prog)"
 define(
     "stream_throughput",
     "prog",
-    f"""
+    """
   SELECT start_us, start_us + 10000000 AS end_us, task_id, sum(keys_processed)::BIGINT AS keys,
     sum(bytes_sent)::BIGINT AS bytes
   FROM (SELECT *, epoch_us(ts) // 10000000 * 10000000 AS start_us FROM prog)
-  WHERE start_us + 10000000 <= {WATERMARK} GROUP BY start_us, task_id""",
+  GROUP BY start_us, task_id""",
 )
 define(
     "liveness_sessions",
     "prog",
-    f"""
-  SELECT * FROM (
+    """
     SELECT min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) + 30000000 AS end_us, worker_id, count(*) AS beats
     FROM (SELECT *, sum(opens) OVER (PARTITION BY worker_id ORDER BY ts) AS session
           FROM (SELECT *, (ts - lag(ts) OVER (PARTITION BY worker_id ORDER BY ts) > INTERVAL 30 SECOND)::INT AS opens
                 FROM prog))
-    GROUP BY worker_id, session)
-  WHERE end_us <= {WATERMARK}""",
+    GROUP BY worker_id, session""",
 )
 define("stream_convergence", "conv judged", STOP)

@@ -1,16 +1,20 @@
 """Continuous reports: totals, throughput windows, liveness sessions and convergence."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from keyferry import schemas
+from keyferry.functions.ranking import join_whole
 from keyferry.operators.convergence import ConvergenceRule, convergence, stopping_iteration
 from keyferry.streaming.sinks import POLL, read_batches, start, write_batch
 
 # Fixed intervals of the reports.
 THROUGHPUT_WINDOW = "10 seconds"
 SILENCE = "30 seconds"
+# Width of the time ranges within which sessions are put in order.
+SESSION_CHUNK_US = 6 * 3600 * 1_000_000
 
 
 def stream_progress(reports: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -32,38 +36,95 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def throughput(reports: DataFrame, delay: str = "1 minute", slide: str | None = None) -> DataFrame:
-    """Keys and bytes per run and window; a window appears once the watermark has passed it."""
+def window_sums(reports: DataFrame, slide: str | None = None) -> DataFrame:
+    """Keys and bytes per run and window. A report without a time belongs to no window."""
     span = F.window("ts", THROUGHPUT_WINDOW, slide) if slide else F.window("ts", THROUGHPUT_WINDOW)
     return (
-        reports.withWatermark("ts", delay)
-        .groupBy(span.alias("span"), "task_id")
+        reports.groupBy(span.alias("span"), "task_id")
         .agg(F.sum("keys_processed").alias("keys"), F.sum("bytes_sent").alias("bytes"))
         .select(_micros("span.start").alias("start_us"), _micros("span.end").alias("end_us"), "task_id", "keys", "bytes")
     )
 
 
-def liveness_sessions(beats: DataFrame, delay: str = "1 minute", silence: str = SILENCE) -> DataFrame:
-    """Active sessions per worker: beats closer than ``silence`` belong together.
+def stream_throughput(
+    reports: DataFrame, path: str, checkpoint: str, slide: str | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Write the window sums of each micro-batch.
 
-    A session ends ``silence`` after its last beat and appears once the watermark has passed that.
+    Sums of different batches add up, so there is neither state nor watermark, and no late report is lost.
     """
+    return start(reports, lambda batch, i: write_batch(window_sums(batch, slide), i, path), checkpoint, trigger=trigger)
+
+
+def read_throughput(spark: SparkSession, path: str) -> DataFrame:
+    """Keys and bytes per run and window over all reports so far, the newest windows included."""
     return (
-        beats.withWatermark("ts", delay)
-        .groupBy(F.session_window("ts", silence).alias("span"), "worker_id")
+        read_batches(spark, path, schemas.THROUGHPUT)
+        .groupBy("start_us", "end_us", "task_id")
+        .agg(F.sum("keys").alias("keys"), F.sum("bytes").alias("bytes"))
+    )
+
+
+def beat_sessions(beats: DataFrame, silence: str = SILENCE) -> DataFrame:
+    """Sessions per worker: beats no more than ``silence`` apart; a session ends ``silence`` after its last beat."""
+    return (
+        beats.groupBy(F.session_window("ts", silence).alias("span"), "worker_id")
         .agg(F.count("*").alias("beats"))
         .select(_micros("span.start").alias("start_us"), _micros("span.end").alias("end_us"), "worker_id", "beats")
     )
 
 
+def merge_sessions(parts: DataFrame, chunk_us: int = SESSION_CHUNK_US) -> DataFrame:
+    """Sessions that overlap or touch joined, per worker.
+
+    A part opens a session if it starts after all earlier ones of its worker have ended. Parts are ordered within
+    chunks of time; what earlier chunks reach comes from one row per worker and chunk, so the parts of a busy worker
+    never meet in one task.
+    """
+    parts = parts.withColumn("_chunk", F.floor(F.col("start_us") / chunk_us))
+    inside = W.partitionBy("worker_id", "_chunk").orderBy("start_us", "end_us").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy("worker_id", "_chunk").orderBy("start_us", "end_us").rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy("worker_id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+
+    def from_earlier(rows: DataFrame, column: str, name: str) -> DataFrame:
+        newest = rows.groupBy("worker_id", "_chunk").agg(F.max(column).alias("_newest"))
+        before = newest.select("worker_id", "_chunk", F.max("_newest").over(earlier).alias(name))
+        return join_whole(rows, before, ["worker_id", "_chunk"])
+
+    reached = from_earlier(parts, "end_us", "_reached")
+    opens = F.coalesce(
+        F.col("start_us") > F.greatest(F.col("_reached"), F.max("end_us").over(inside)), F.lit(True)
+    )
+    opened = from_earlier(reached.withColumn("_opened", F.when(opens, F.col("start_us"))), "_opened", "_open_before")
+    first = F.coalesce(F.max("_opened").over(upto), F.col("_open_before"))
+    return (
+        opened.withColumn("_first", first)
+        .groupBy("worker_id", F.col("_first").alias("start_us"))
+        .agg(F.max("end_us").alias("end_us"), F.sum("beats").alias("beats"))
+        .select("start_us", "end_us", "worker_id", "beats")
+    )
+
+
+def stream_sessions(
+    beats: DataFrame, path: str, checkpoint: str, silence: str = SILENCE, trigger: dict | None = None
+) -> StreamingQuery:
+    """Write the sessions of each micro-batch; those of different batches are joined when they are read."""
+    return start(beats, lambda batch, i: write_batch(beat_sessions(batch, silence), i, path), checkpoint, trigger=trigger)
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Sessions over all beats so far, open ones included."""
+    return merge_sessions(read_batches(spark, path, schemas.SESSION).drop("batch"))
+
+
 def _micros(moment: str) -> Column:
     return F.unix_micros(F.col(moment))
 
 
-def append_closed(windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append closed windows or sessions to a parquet table."""
+def append_rows(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append the rows of a stream to a parquet table."""
     return (
-        windows.writeStream.outputMode("append")
+        rows.writeStream.outputMode("append")
         .format("parquet")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or POLL))

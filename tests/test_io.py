@@ -110,19 +110,26 @@ def test_progress_stream_keeps_the_newest_totals(spark):
     assert read_batches(spark, f"{path}/out", schemas.PROGRESS_TOTALS).agg(F.max("batch")).first()[0] >= 2
 
 
-def test_windows_close_behind_the_watermark(spark):
+def test_late_reports_and_open_windows_are_kept(spark):
     path = scratch_path(spark, "windows")
     begin = datetime.datetime(2024, 1, 1)
-    rows = [("t", "w", 1, 10, 0, begin + datetime.timedelta(seconds=s)) for s in (0, 9, 10, 25, 70, 200)]
-    spark.createDataFrame(rows, schemas.PROGRESS).write.parquet(f"{path}/in")
-
-    def closed(build, name):
-        windows = build(spark.readStream.schema(schemas.PROGRESS).parquet(f"{path}/in"))
-        reports.append_closed(windows, f"{path}/{name}", f"{path}/{name}-check", DRAIN).awaitTermination()
-        table = spark.read.schema(windows.schema).parquet(f"{path}/{name}")
-        return sorted(((r.end_us - r.start_us) // 1_000_000, r[-1]) for r in table.collect())
-
-    assert closed(reports.throughput, "tumbling") == [(10, 10), (10, 10), (10, 10), (10, 20)]
-    assert closed(reports.liveness_sessions, "sessions") == [(30, 1), (55, 4)]
-    sliding = closed(lambda s: reports.throughput(s, slide="5 seconds"), "sliding")
-    assert sum(b for _, b in sliding) == 2 * 50
+    # one file and micro-batch each, out of order
+    for worker, second in [("w", s) for s in (200, 9, 70, 0, 25, 10)] + [(None, 40), (None, 5), (None, 22)]:
+        rows = [("t", worker, 1, 10, 0, begin + datetime.timedelta(seconds=second))]
+        spark.createDataFrame(rows, schemas.PROGRESS).coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+    def feed():
+        return spark.readStream.schema(schemas.PROGRESS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    whole = spark.read.schema(schemas.PROGRESS).parquet(f"{path}/in")
+    for slide in (None, "5 seconds"):
+        out = f"{path}/sums-{slide is None}"
+        reports.stream_throughput(feed(), out, f"{out}-check", slide, DRAIN).awaitTermination()
+        found = sorted(map(tuple, reports.read_throughput(spark, out).collect()))
+        assert found == sorted(map(tuple, reports.window_sums(whole, slide).collect()))
+    reports.stream_sessions(feed(), f"{path}/sessions", f"{path}/check", trigger=DRAIN).awaitTermination()
+    expected = sorted(map(str, reports.beat_sessions(whole).collect()))
+    assert sorted(map(str, reports.read_sessions(spark, f"{path}/sessions").collect())) == expected
+    parts = read_batches(spark, f"{path}/sessions", schemas.SESSION).drop("batch")
+    short = reports.merge_sessions(parts, chunk_us=15_000_000)  # sessions over several chunks
+    assert sorted(map(str, short.collect())) == expected and len(expected) == 4

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keyferry import schemas
 from keyferry.functions.values import normal_ttl
+from keyferry.operators.limits import few_enough
 
 ORDER = ["ts", "offset", "node_id"]
 
@@ -58,11 +59,11 @@ def apply_folds(
     A set without a value takes value and type from ``source``, where the key lives now; if the source
     lacks it too, the target row stays. An expire counts only after the last write.
 
-    Pass ``few`` when ``few_enough`` has found few changed keys. They are then broadcast to the target:
-    its untouched rows pass through, and only the touched ones are shuffled.
+    Pass ``few`` when few keys are expected to change. If a count finds their number and bytes small, they are
+    broadcast to the target: its untouched rows pass through, and only the touched ones are shuffled.
     """
     target = target.select(schemas.KEYSPACE.names)
-    if not few:
+    if not few or not few_enough(folds):
         return _changed(target.join(folds, "key", "full_outer"), source)
     keys = F.broadcast(folds.select("key"))
     touched = folds.join(target.join(keys, "key", "left_semi"), "key", "left")

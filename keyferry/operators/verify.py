@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keyferry.functions.ranking import top_rows
 from keyferry.functions.values import canonical_value, digest, normal_ttl
-from keyferry.operators.limits import BROADCAST_KEYS
+from keyferry.operators.limits import BROADCAST_KEYS, few_enough
 
 DEFAULT_SAMPLE = 10_000
 
@@ -26,8 +26,6 @@ def sample_keys(source: DataFrame, n: int = DEFAULT_SAMPLE) -> DataFrame:
     """The ``n`` source rows whose keys come first in digest order: random-like, yet repeatable."""
     order = F.md5("key")
     chosen = top_rows(source.select("key"), [order, F.col("key")], n, bucket=F.substring(order, 1, 4))
-    if n <= BROADCAST_KEYS:
-        chosen = F.broadcast(chosen)
     return source.join(chosen, "key", "left_semi")
 
 
@@ -40,12 +38,12 @@ def verify_rows(
 ) -> DataFrame:
     """Each source key as ``matched``, ``mismatched`` or ``missing`` in the target.
 
-    When ``source`` is a sample of known size, pass it: a small sample is broadcast to the target scan,
-    so the target is read once and not shuffled. ``keep`` names source columns to carry along.
+    When ``source`` is a sample of known size, pass it: a sample found small by count and bytes is broadcast to the
+    target scan, so the target is read once and not shuffled. ``keep`` names source columns to carry along.
     """
     left = _digests(source, compare_ttl, *keep)
     right = _digests(target, compare_ttl)
-    if sample_size is not None and sample_size <= BROADCAST_KEYS:
+    if sample_size is not None and sample_size <= BROADCAST_KEYS and few_enough(source):
         right = right.join(F.broadcast(left.select("key")), "key", "left_semi")
     right = right.select(*[F.col(c).alias(c if c == "key" else f"_{c}") for c in right.columns])
     joined = left.join(right, "key", "left")

@@ -306,6 +306,12 @@ def apply_changes(spark, sf):
     return changes.apply_changes(views.users(spark, sf), views.changes(spark, sf))
 
 
+@query
+def apply_renames(spark, sf):
+    events = views.renamed_changes_of(views.table(spark, sf, "events"))
+    return changes.apply_changes(views.users(spark, sf), events)
+
+
 @query
 def migrate(spark, sf):
     """The whole job over a scan with repeated keys: scan, filter, merge, write; the target as written."""
@@ -626,6 +632,14 @@ def stream_apply_changes(spark, sf):
     return sync.changed_target(spark, views.users(spark, sf), f"{path}/rows")
 
 
+@query
+def stream_apply_renames(spark, sf):
+    path = scratch_path(spark, "renamed")
+    feed = views.renamed_changes_of(views.table_stream(spark, sf, "events"))
+    drain(sync.stream_apply_changes(feed, f"{path}/rows", f"{path}/checkpoint", DRAIN))
+    return sync.changed_target(spark, views.users(spark, sf), f"{path}/rows")
+
+
 def _progress_stream(spark, sf):
     views.apply_conf(spark)
     return views.progress_of(views.table_stream(spark, sf, "events"))

@@ -105,7 +105,7 @@ V = {
 def define(name: str, views: str, sql: str) -> None:
     """Register the SQL of a query; ``views`` names the views it reads, in order of definition."""
     parts = [f"{view} AS ({V[view]})" for view in views.split()]
-    ORACLE[name] = (f"WITH {', '.join(parts)} " if parts else "") + sql
+    ORACLE[name] = (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + sql
 
 
 def derive(view: str, sql: str) -> None:
@@ -391,6 +391,45 @@ APPLY_CHANGES = """
   WHERE coalesce(w.op, '') <> 'del' AND coalesce(w.value, u.value) IS NOT NULL"""
 define("apply_changes", "users chg", APPLY_CHANGES)
 define("apply_few_changes", "users chg", APPLY_CHANGES)
+APPLY_RENAMES = """
+  , ren AS (SELECT * REPLACE (
+        CASE WHEN "offset" % 7 = 0 THEN 'rename' ELSE op END AS op,
+        CASE WHEN "offset" % 7 <> 0 THEN value END AS value, CASE WHEN "offset" % 7 <> 0 THEN ttl_s END AS ttl_s),
+      'user:' || (split_part(key, ':', 2)::BIGINT + "offset" % 4) AS new_key FROM chg),
+  w AS (SELECT key, (ts, "offset") AS moment, op, value, ttl_s, NULL::VARCHAR AS origin FROM ren WHERE op IN ('set', 'del')
+    UNION ALL SELECT key, (ts, "offset"), 'del', NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR FROM ren WHERE op = 'rename' AND key <> new_key
+    UNION ALL SELECT new_key, (ts, "offset"), 'move', NULL::VARCHAR, NULL::BIGINT, key FROM ren WHERE op = 'rename' AND key <> new_key),
+  x AS (SELECT key, (ts, "offset") AS moment, ttl_s FROM ren WHERE op = 'expire'),
+  -- questions: what each key holds in the end (moment null), and what each moved key held when it moved
+  asked AS (SELECT origin AS key, moment FROM w WHERE op = 'move'
+    UNION ALL SELECT DISTINCT key, NULL FROM (SELECT key FROM w UNION ALL SELECT key FROM users)),
+  last_w AS (SELECT a.key, a.moment, max(w.moment) AS w_at FROM asked a LEFT JOIN w ON w.key = a.key AND (a.moment IS NULL OR w.moment < a.moment)
+    GROUP BY ALL),
+  answer AS (SELECT l.key, l.moment, l.w_at, max(x.moment) AS x_at FROM last_w l LEFT JOIN x ON x.key = l.key
+      AND (l.moment IS NULL OR x.moment < l.moment) AND (l.w_at IS NULL OR x.moment > l.w_at) GROUP BY ALL),
+  step AS (SELECT a.key, a.moment, w.moment AS w_at, coalesce(w.op, 'base') AS op, w.value, w.ttl_s, w.origin,
+      x.moment IS NOT NULL AS expired, x.ttl_s AS x_ttl
+    FROM answer a LEFT JOIN w ON w.key = a.key AND w.moment = a.w_at LEFT JOIN x ON x.key = a.key AND x.moment = a.x_at),
+  chase AS (SELECT key AS k, key, op, value, ttl_s, origin, w_at, expired, x_ttl, op = 'move' AS moved
+    FROM step WHERE moment IS NULL
+    UNION ALL
+    SELECT c.k, s.key, s.op, s.value, s.ttl_s, s.origin, s.w_at, c.expired OR s.expired,
+      CASE WHEN c.expired THEN c.x_ttl ELSE s.x_ttl END, true
+    FROM chase c JOIN step s ON c.op = 'move' AND s.key = c.origin AND s.moment = c.w_at),
+  ends AS (SELECT c.*, o.key IS NOT NULL AS had, o.type AS o_type, o.value AS o_value, o.ttl_s AS o_ttl, o.node AS o_node
+    FROM chase c LEFT JOIN users o ON o.key = c.key WHERE c.op <> 'move'),
+  own AS (SELECT e.*, e.op = 'set' OR (e.op = 'base' AND e.had) AS there, s.expired AS own_expired, s.x_ttl AS own_ttl,
+      u.type AS u_type, u.value AS u_value, u.node AS u_node
+    FROM ends e JOIN step s ON s.key = e.k AND s.moment IS NULL LEFT JOIN users u ON u.key = e.k),
+  state AS (SELECT k AS key,
+      CASE WHEN there AND moved THEN coalesce(o_type, 'string') ELSE coalesce(u_type, 'string') END AS type,
+      CASE WHEN there THEN coalesce(value, o_value, u_value) WHEN moved THEN u_value END AS value,
+      greatest(coalesce(CASE WHEN there AND expired THEN x_ttl WHEN there AND op = 'set' THEN ttl_s WHEN there THEN o_ttl
+        WHEN own_expired THEN own_ttl END, 0), 0) AS ttl_s,
+      CASE WHEN there AND moved THEN coalesce(o_node, 0) ELSE coalesce(u_node, 0) END AS node
+    FROM own)
+  SELECT * FROM state WHERE value IS NOT NULL"""
+define("apply_renames", "users chg", APPLY_RENAMES)
 
 define(
     "migrate",
@@ -732,6 +771,7 @@ define(
 
 define("stream_new_keys", "src known", "SELECT * FROM src ANTI JOIN known USING (key)")
 define("stream_apply_changes", "users chg", APPLY_CHANGES)
+define("stream_apply_renames", "users chg", APPLY_RENAMES)
 define(
     "stream_progress",
     "prog",

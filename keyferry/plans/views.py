@@ -146,6 +146,22 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes_of(table(spark, sf_dir, "events"))
 
 
+def renamed_changes_of(events: DataFrame) -> DataFrame:
+    """The change events with every seventh one as a rename to one of the next keys, or to the same."""
+    moved = col("offset") % 7 == 0
+    user = F.substring_index("key", ":", -1).cast("long")
+    return changes_of(events).select(
+        "node_id",
+        "key",
+        F.when(moved, "rename").otherwise(col("op")).alias("op"),
+        F.when(~moved, col("value")).alias("value"),
+        F.when(~moved, col("ttl_s")).alias("ttl_s"),
+        F.when(moved, label("user:", user + col("offset") % 4)).alias("new_key"),
+        "ts",
+        "offset",
+    )
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyspace that the change events apply to."""
     return table(spark, sf_dir, "customer").select(

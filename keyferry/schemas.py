@@ -23,11 +23,6 @@ TYPED = struct(
 CHANGE = struct(
     node_id=STRING, key=STRING, op=STRING, value=STRING, ttl_s=LONG, new_key=STRING, ts=TIME, offset=LONG
 )
-FOLD = struct(
-    key=STRING,
-    write=struct(ts=TIME, offset=LONG, node_id=STRING, op=STRING, value=STRING, ttl_s=LONG),
-    expire=struct(ts=TIME, offset=LONG, node_id=STRING, ttl_s=LONG),
-)
 RUN = struct(
     id=STRING,
     name=STRING,

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from keyferry import schemas
-from keyferry.operators.changes import apply_folds, fold_changes, merge_folds
+from keyferry.operators.changes import apply_changes
 from keyferry.operators.filters import KeyFilter, filter_keys
 from keyferry.operators.limits import few_enough
 from keyferry.sources.keyspace import scan_keyspace
 from keyferry.streaming.sinks import read_batches, start, write_batch
 
+
 def stream_new_keys(
     rows: DataFrame,
     known: DataFrame,
@@ -52,20 +53,21 @@ def read_new_keys(spark: SparkSession, path: str) -> DataFrame:
 def stream_apply_changes(
     changes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Write the fold of each micro-batch of change events.
+    """Write the change events of each micro-batch.
 
-    Folds are maxima of (ts, offset, node_id): repeated events change nothing and an old event never
-    beats a newer one, whichever batch brings it. So the stream needs neither state nor watermark and
-    loses no late event; deletes stay in the folds as tombstones.
+    They stay events, because a rename that comes late needs what its old key held at that time, which a fold may
+    have passed over. Repeated events change nothing and an old one never beats a newer one, whichever batch brings
+    it. So the stream needs neither state nor watermark and loses no late event.
     """
-    return start(changes, lambda batch, i: write_batch(fold_changes(batch), i, path), checkpoint, trigger=trigger)
+    columns = schemas.CHANGE.names
+    return start(changes.select(columns), lambda batch, i: write_batch(batch, i, path), checkpoint, trigger=trigger)
 
 
-def read_folds(spark: SparkSession, path: str) -> DataFrame:
-    """One fold per key over all batches so far."""
-    return merge_folds(read_batches(spark, path, schemas.FOLD))
+def read_changes(spark: SparkSession, path: str) -> DataFrame:
+    """The events of all batches so far."""
+    return read_batches(spark, path, schemas.CHANGE).drop("batch")
 
 
 def changed_target(spark: SparkSession, target: DataFrame, path: str, source: DataFrame | None = None) -> DataFrame:
     """The target with every change streamed so far."""
-    return apply_folds(target, read_folds(spark, path), source, few=True)
+    return apply_changes(target, read_changes(spark, path), source, few=True)

@@ -23,13 +23,16 @@ def events(spark, *rows):
 
 
 def replay(base: dict, rows) -> dict:
-    """Apply set, del and expire events one by one in order."""
+    """Apply set, del, expire and rename events one by one in order. Renaming an absent key changes nothing."""
     state = dict(base)
-    for second, offset, op, key, value, ttl, _ in sorted(rows, key=lambda r: (r[0], r[1])):
+    for second, offset, op, key, value, ttl, new in sorted(set(rows), key=lambda r: (r[0], r[1])):
         if op == "set":
             state[key] = (value, ttl)
         elif op == "del":
             state.pop(key, None)
+        elif op == "rename":
+            if key in state:
+                state[new] = state.pop(key)
         elif key in state:
             state[key] = (state[key][0], ttl)
     return state
@@ -66,22 +69,72 @@ def test_folding_folds_changes_nothing(spark, log):
 
 def test_rename_and_lookup(spark, keyspace):
     target = keyspace(("old", "1", 50), ("x", "2"))
-    source = keyspace(("new", "moved"), ("y", "now"))
+    source = keyspace(("new", "later"), ("y", "now"), ("z", "found"))
     log = events(
         spark,
         (1, 1, "rename", "old", None, None, "new"),
+        (1, 2, "rename", "unknown", None, None, "z"),
         (2, 2, "set", "y", None, 30, None),
         (3, 3, "set", "lost", None, None, None),
         (4, 4, "expire", "x", None, 9, None),
         (5, 5, "expire", "absent", None, 9, None),
     )
-    expected = {"new": ("moved", 0), "y": ("now", 30), "x": ("2", 9)}
+    expected = {"new": ("1", 50), "z": ("found", 0), "y": ("now", 30), "x": ("2", 9)}
     assert state_of(apply_changes(target, log, source)) == expected
     few = apply_changes(target, log, source, few=True)
     assert state_of(few) == expected
     assert "LeftAnti, BuildRight" in plan_of(few)  # the untouched rows are not shuffled
 
 
+@pytest.fixture
+def renames():
+    """Renames among other events: chains over many keys, sets before and after, hours apart. Old keys exist."""
+    rng = random.Random(8)
+    state, rows = {f"k{i}" for i in range(0, 20, 2)}, []
+    for i in range(600):
+        op, key, new = rng.choice(["set", "expire", "rename", "rename", "del"]), f"k{rng.randrange(20)}", None
+        if op == "rename":
+            key, new = rng.choice(sorted(state) or ["k0"]), f"k{rng.randrange(20)}"
+        if op == "rename" and key not in state:
+            continue
+        if op in ("del", "rename"):
+            state.discard(key)
+        if op in ("set", "rename"):
+            state.add(new or key)
+        rows.append((i * 97, i, op, key, f"v{i}" if op == "set" else None, i + 1 if op in ("set", "expire") else None, new))
+    return rows
+
+
+def test_renames_equal_replay_without_a_source(spark, keyspace, renames):
+    names = [f"k{i}" for i in range(0, 20, 2)]
+    base = keyspace(*[(k, f"base {k}") for k in names])
+    expected = replay({k: (f"base {k}", 0) for k in names}, renames)
+    shuffled = random.Random(9).sample(renames, len(renames)) + renames[:70]
+    assert state_of(apply_changes(base, events(spark, *shuffled))) == expected
+    assert state_of(apply_changes(base, events(spark, *shuffled), few=True)) == expected
+
+
+def test_long_chain_keeps_value_type_and_ttl(spark, keyspace):
+    base = keyspace(("c0", "v", 40))
+    chain = [(i, i, "rename", f"c{i}", None, None, f"c{i + 1}") for i in range(33)]
+    after = [(5, 100, "set", "c0", "again", 7, None), (40, 101, "rename", "c33", None, None, "c33")]
+    assert state_of(apply_changes(base, events(spark, *chain, *after))) == {"c33": ("v", 40), "c0": ("again", 7)}
+    set_then_moved = [(1, 1, "set", "c", "new", None, None), (2, 2, "rename", "c", None, None, "e")]
+    assert state_of(apply_changes(base, events(spark, *set_then_moved)))["e"] == ("new", 0)
+
+
+def test_late_rename_in_a_stream(spark, keyspace):
+    folder = scratch_path(spark, "late")
+    events(spark, (1, 1, "set", "a", "v1", None, None)).write.mode("append").parquet(f"{folder}/in")
+    events(spark, (3, 3, "set", "a", "v2", None, None)).write.mode("append").parquet(f"{folder}/in")
+    events(spark, (2, 2, "rename", "a", None, None, "b")).write.mode("append").parquet(f"{folder}/in")
+    feed = change_feed(spark, f"{folder}/in", files_per_trigger=1)
+    sync.stream_apply_changes(feed, f"{folder}/out", f"{folder}/check", {"availableNow": True}).awaitTermination()
+    assert state_of(sync.changed_target(spark, keyspace(("k", "1")), f"{folder}/out")) == {
+        "a": ("v2", 0), "b": ("v1", 0), "k": ("1", 0)
+    }
+
+
 def test_stream_reaches_the_batch_state(spark, keyspace, log):
     folder = scratch_path(spark, "feed")
     rng = random.Random(5)

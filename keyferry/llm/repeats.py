@@ -23,7 +23,8 @@ CROWDED = 50_000
 RUN_BYTES = 1 << 20
 HELD_ANCHORS, HELD_BYTES = 1 << 20, 16 << 20
 _PLACE = np.uint64((1 << 32) - 1)
-_LAST_ID = np.iinfo(np.int64).max
+#: Added to the places in rows without an id: texts are shorter, so these rows come last and meet no row with an id.
+_BARE = 1 << 32
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -144,6 +145,15 @@ def _merged(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return ids[first], starts[first], (reach - shift)[last]
 
 
+def _first_and_later(marks: np.ndarray, names: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of segments in order: which are the first of their mark and name, and which others lie in a later place."""
+    new = np.append(True, (marks[1:] != marks[:-1]) | (names[1:] != names[:-1]))
+    first = np.flatnonzero(new)
+    lead = np.repeat(first, np.diff(np.append(first, len(marks))))
+    # a repeated row has the place of its double
+    return new, (ids != ids[lead]) | (firsts != firsts[lead])
+
+
 def _segments_out(length: int, parts: int):
     """The text around each repeated anchor, once for equal ones of a task; the others are known to be covered."""
     schema = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("content", pa.binary())])
@@ -151,14 +161,14 @@ def _segments_out(length: int, parts: int):
     def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         marks, names, ids, firsts, sizes = (np.concatenate(x) for x in list(zip(*held))[:5])
         texts = [t for h in held for t in h[5]]
-        order = np.lexsort((firsts, ids, names, marks))
+        order = np.lexsort((firsts, ids, firsts >= _BARE, names, marks))
         marks, names, ids, firsts, sizes = (x[order] for x in (marks, names, ids, firsts, sizes))
-        again = np.append(False, (marks[1:] == marks[:-1]) & (names[1:] == names[:-1]))
+        new, again = _first_and_later(marks, names, ids, firsts)
         covered = _merged(ids[again], firsts[again], firsts[again] + sizes[again])
         # rows without content only pass on what is covered
         spread = (covered[0] % parts).astype(np.int32)
         rows = [(p, packed, None) for p, packed in _packed_by_part(spread, list(covered))]
-        keep = np.flatnonzero(~again)
+        keep = np.flatnonzero(new)
         part = (marks[keep] % np.uint64(parts)).astype(np.int32)
         by_part = np.argsort(part, kind="stable")
         keep, part = keep[by_part], part[by_part]
@@ -175,6 +185,7 @@ def _segments_out(length: int, parts: int):
         held, size = [], 0
         for batch in batches:
             ids = batch.column("id").to_numpy()
+            base = np.where(batch.column("bare").to_numpy(zero_copy_only=False).astype(bool), _BARE, 0)
             wanted, crowded = batch.column("anchors"), batch.column("crowded")
             for row, data, offsets in _runs(batch):
                 first, last, marks, rows, sums = anchors(data, offsets, length)
@@ -206,7 +217,7 @@ def _segments_out(length: int, parts: int):
                 names = hashes_at(sums, f, e)
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(f.tolist(), e.tolist())]
-                held.append((m, names, ids[row + r], f - offsets[r], e - f, texts))
+                held.append((m, names, ids[row + r], f - offsets[r] + base[row + r], e - f, texts))
                 size += int((e - f).sum())
                 if size >= HELD_BYTES:
                     yield from sent(held)
@@ -295,11 +306,11 @@ def _covered_out(length: int):
             marks, texts, ids, firsts, sizes = (np.concatenate(c) for c in columns)
             data = np.concatenate(contents)
             begins = np.append(0, np.cumsum(sizes)[:-1])
-            order = np.lexsort((firsts, ids, texts, marks))
-            same = (marks[order][1:] == marks[order][:-1]) & (texts[order][1:] == texts[order][:-1])
-            again = order[np.append(False, same)]
+            order = np.lexsort((firsts, ids, firsts >= _BARE, texts, marks))
+            new, later = _first_and_later(marks[order], texts[order], ids[order], firsts[order])
+            again = order[later]
             found.append((ids[again], firsts[again], firsts[again] + sizes[again]))
-            order = order[np.append(True, ~same)]
+            order = order[new]
             # an anchor with one text only has nothing to be compared with
             new = np.append(True, marks[order][1:] != marks[order][:-1])
             counts = np.diff(np.append(np.flatnonzero(new), len(order)))
@@ -327,7 +338,7 @@ def _repeats(data, begins, sizes, ids, firsts, length) -> tuple[np.ndarray, np.n
     whole = inside[order] + length <= sizes[segment[order]]
     order, group = order[whole], group[whole]
     owner, start = ids[segment[order]], firsts[segment[order]] + inside[order]
-    by_group = np.lexsort((start, owner, group))
+    by_group = np.lexsort((start, owner, start >= _BARE, group))
     owner, start, group = owner[by_group], start[by_group], group[by_group]
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     lead = np.repeat(first, np.diff(np.append(first, len(group))))
@@ -336,22 +347,25 @@ def _repeats(data, begins, sizes, ids, firsts, length) -> tuple[np.ndarray, np.n
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     for batch in batches:
         data, offsets = utf8_of(batch.column("text"))
         raw = data.tobytes()
         rows = []
-        for n, (i, ranges) in enumerate(zip(batch.column("id").to_pylist(), batch.column("ranges").to_pylist())):
+        columns = (batch.column(c).to_pylist() for c in ("id", "bare", "ranges"))
+        for n, (i, bare, ranges) in enumerate(zip(*columns)):
             text = raw[offsets[n] : offsets[n + 1]]
             kept, at, removed, spans = [], 0, 0, 0
-            if ranges:
-                starts, ends = zip(*((r["start"], r["end"]) for r in ranges))
+            base = _BARE if bare else 0
+            own = [(r["start"] - base, r["end"] - base) for r in ranges or () if (r["start"] >= _BARE) == bare]
+            if own:
+                starts, ends = zip(*own)
                 _, starts, ends = _merged(np.zeros(len(starts), np.int64), np.array(starts), np.array(ends))
                 for a, b in zip(starts.tolist(), ends.tolist()):
                     kept.append(text[at:a])
                     at, removed, spans = b, removed + b - a, spans + 1
             kept.append(text[at:])
-            rows.append((i, len(text), removed, spans, b"".join(kept)))
+            rows.append((None if bare else i, len(text), removed, spans, b"".join(kept)))
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])], names=names
@@ -363,9 +377,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A byte goes if a string of ``length`` bytes covers it that also starts in an earlier place: in a document with a
     smaller id, or earlier in the same one. All strings are judged on the whole input. Texts are UTF-8 bytes; a null
-    text is empty. Null ids come last. Rows that share an id count as one document, in which equal starts are the same
+    text is empty. Rows that share an id count as one document, in which equal starts are the same
     place, so a repeated row does not remove its double, and each of the rows loses what any of them loses at its
-    place. Other columns are not carried; one row per row of ``docs``.
+    place. Each row without an id is a document of its own; these come last, by a hash of their text, and of equal
+    ones only one keeps its text. Other columns are not carried; one row per row of ``docs``.
 
     Only hashes of anchors are shuffled for the whole corpus. Documents that hold repeated anchors send the text around
     these, each distinct text once per task; texts whose anchor has no other text are never sorted.
@@ -373,8 +388,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     parts = 4 * n
-    keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id"), whole_text().alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
+    bare = F.col("id").isNull()
+    # equal texts without an id are numbered by their count; shorter ones hold no string and need no number
+    numbered = bare & (F.octet_length("text") >= length)
+    own = (
+        rows.where(numbered)
+        .groupBy("text")
+        .agg(F.count("*").alias("copies"))
+        .select("text", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("number"))
+        .select(F.xxhash64("text", "number").alias("id"), "text", F.lit(True).alias("bare"))
+    )
+    keyed = (
+        rows.where(~numbered)
+        .select(F.coalesce("id", F.xxhash64("text")).alias("id"), "text", bare.alias("bare"))
+        .unionByName(own)
     )
     repeated = (
         keyed.mapInArrow(_anchors_out(length, parts), "part int, packed binary")
@@ -387,7 +415,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     placed = keyed.repartition(n, "id")
     ranges = (
         placed.join(repeated, placed.id == repeated.found_id)
-        .select("id", "text", "anchors", "crowded")
+        .select("id", "text", "bare", "anchors", "crowded")
         .mapInArrow(_segments_out(length, parts), "part int, packed binary, content binary")
         .groupBy("part")
         .applyInArrow(_covered_out(length), "id long, start long, end long")
@@ -395,9 +423,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
         .withColumnRenamed("id", "found_id")
     )
-    kept = (
+    return (
         placed.join(ranges, placed.id == ranges.found_id, "left")
-        .select("id", "text", "ranges")
-        .mapInArrow(_kept, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        .select("id", "text", "bare", "ranges")
+        .mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     )
-    return kept.select(F.nullif("id", F.lit(_LAST_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

@@ -296,6 +296,38 @@ def test_repeats_with_repeated_rows(doubled):
     assert repeats.remove_repeats(doubled).count() == doubled.count()
 
 
+def brute_repeats_of_rows(rows, length):
+    """By places: rows of one id are one document, each row without an id is its own and comes last."""
+    rows = sorted((i is None, i if i is not None else n, (t or "").encode()) for n, (i, t) in enumerate(rows))
+    first, gone = {}, {}
+    for late, i, data in rows:
+        for p in range(len(data) - length + 1):
+            place = (late, i, p)
+            if first.setdefault(data[p : p + length], place) != place:
+                gone.setdefault((late, i), set()).update(range(p, p + length))
+    out = []
+    for late, i, data in rows:
+        cut = gone.get((late, i), ())
+        marks = bytes(p in cut for p in range(len(data)))
+        kept = bytes(b for b, g in zip(data, marks) if not g)
+        out.append((None if late else i, len(data), sum(marks), len(re.findall(b"\1+", marks)), kept))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("held", [repeats.HELD_BYTES, 1])
+def test_repeated_rows_and_null_ids_keep_what_is_new(spark, doubled, held, monkeypatch):
+    monkeypatch.setattr(repeats, "HELD_BYTES", held)
+    rng = random.Random(5)
+    alone, both = prose(rng, 60), prose(rng, 60)
+    more = [(900, alone + " " + both), (900, alone + " " + both), (None, "x" + both), (None, prose(rng, 60))]
+    more += [(None, more[3][1])] * 2 + [(None, ""), (None, None), (2**63 - 1, both[5:])]
+    texts = doubled.select("doc_id", "text").where("doc_id IS NULL OR doc_id <> 16")
+    docs = texts.unionByName(spark.createDataFrame(more, texts.schema))
+    ours = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs).collect()]
+    assert sorted(ours, key=repr) == brute_repeats_of_rows([tuple(r) for r in docs.collect()], repeats.LENGTH)
+    assert [r[2] for r in ours if r[0] == 900] == [0, 0]
+
+
 def test_fingerprints(docs, doubled, empty, rows):
     found = by_id(fingerprints.compare_edited(docs))
     order = sorted(rows, key=lambda r: -r[0])

@@ -24,7 +24,29 @@ _LOCAL_REVERSED = re.compile(r"[A-Za-z0-9._%+-]+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Countries by the registered length of their account numbers; those of other countries have any length.
+_IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_IBAN_LENGTH = {country: n for n, countries in _IBAN_LENGTHS.items() for country in countries.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])")
 _DIGITS = re.compile(r"[^0-9]+")
@@ -88,7 +110,33 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
+    """Account numbers that the check confirms, cut at the end of a word: words around a number may look like parts of it.
+
+    Numbers of a listed country have its length. Those of others have the greatest that is confirmed, and do not overlap
+    the listed ones.
+    """
+    found, loose, at = [], [], 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 4
+        ends = [e for e in range(m.end(), start + 14, -1) if not (text[e : e + 1].isascii() and text[e : e + 1].isalnum())]
+        length = _IBAN_LENGTH.get(m.group()[:2])
+        for end in ends:
+            code = text[start:end].replace(" ", "")
+            if len(code) == (length or max(len(code), 15)) and mod97(code):
+                if length:
+                    found.append((start, end))
+                    at = end
+                else:
+                    loose.append((start, end))
+                break
+    if loose:
+        end = 0
+        for s, e in loose:
+            if s >= end and not any(a < e and s < b for a, b in found):
+                found.append((s, e))
+                end = e
+        found.sort()
+    return found
 
 
 def ssns(text: str) -> list[tuple[int, int]]:

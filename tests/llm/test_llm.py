@@ -143,6 +143,24 @@ def test_pii(docs, doubled, empty, rows):
     assert "<EMAIL>" in clean[17].text and "4111" not in clean[17].text and clean[17].n_chars == len(clean[17].text)
 
 
+@pytest.mark.parametrize("number", ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("before", ["", "IBAN ", "AB12 ", "KONTO 7 ", "DE00 1234 "])
+@pytest.mark.parametrize("after", ["", ".", " BIC", " EUR", " 5 days", " BIC COBADEFF 100 EUR", " GB82 WEST 1234", " é"])
+def test_ibans_between_words(number, before, after):
+    start, end = len(before), len(before) + len(number)
+    assert pii.ibans(before + number + after) == [(start, end)]
+    assert number not in pii.redacted_text(before + number + after)
+    assert pii.ibans(before + number[:-1] + after) == [] == pii.ibans(before + number + "x" + after)
+
+
+def test_ibans_in_a_row():
+    first, second = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert pii.ibans(f"{first} {second}") == [(0, len(first)), (len(first) + 1, len(first) + 1 + len(second))]
+    loose = "XY" + next(f"{n:02}" for n in range(2, 99) if pii.mod97(f"XY{n:02}12345678901")) + " 1234 5678 901"
+    assert pii.ibans(f"to {loose} EUR") == [(3, 3 + len(loose))]
+    assert pii.ibans("AB12 " * 50_000) == []
+
+
 def test_long_words_stay_linear():
     assert pii.emails("x" * 300_000 + "@" + "y" * 1000) == []
     assert pii.ips("1" * 300_000) == [] and pii.cards("1" * 300_000) == []

@@ -63,8 +63,8 @@ def retain_logs(logs: DataFrame, keep: int | None = None) -> DataFrame:
 def search_logs(logs: DataFrame, wanted: LogFilter = LogFilter(), offset: int = 0, limit: int = 0) -> DataFrame:
     """Matching log rows, newest first, each with the ``total`` of matches; ``limit`` 0 returns all.
 
-    Without a limit the rows before the offset are skipped by id, so the rest stays distributed. Only rows without an id,
-    which come last, are numbered to be skipped.
+    Without a limit the rows before the offset are skipped by id, so the rest stays distributed. Only rows with the last
+    skipped id, and rows without an id, which come last, are numbered to be skipped.
     """
     found = filter_logs(logs, wanted)
     newest = [F.desc(c) for c in NEWEST]
@@ -73,12 +73,17 @@ def search_logs(logs: DataFrame, wanted: LogFilter = LogFilter(), offset: int =
     if limit:
         page = newest_logs(found, offset + limit).orderBy(*newest).offset(offset)
     elif offset:
-        last_skipped = newest_logs(found, offset).agg(F.min("id").alias("id")).scalar()
+        skipped = newest_logs(found, offset).filter(F.col("id").isNotNull())
+        of_id = skipped.groupBy("id").agg(F.count("*").alias("rows"))
+        last = of_id.agg(F.min(F.struct("id", "rows")).alias("last")).scalar()
         with_id = found.agg(F.count("id").alias("rows")).scalar()
         number = F.row_number().over(W.orderBy(*newest))
         bare = found.filter(F.col("id").isNull()).withColumn("_number", number)
-        page = found.filter(F.col("id") < last_skipped).unionByName(
-            bare.filter(F.col("_number") + with_id > offset).drop("_number")
+        tied = found.filter(F.col("id") == last["id"]).withColumn("_number", number)
+        page = (
+            found.filter(F.col("id") < last["id"])
+            .unionByName(tied.filter(F.col("_number") > last["rows"]).drop("_number"))
+            .unionByName(bare.filter(F.col("_number") + with_id > offset).drop("_number"))
         )
     return page.orderBy(*newest).withColumn("total", total)
 

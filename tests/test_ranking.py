@@ -94,3 +94,13 @@ def test_log_pages_with_rows_without_an_id(spark):
     for offset in (1, 120, 299, 300, 310, 349, 350):
         assert [r.message for r in search_logs(logs, offset=offset).collect()] == whole[offset:]
         assert [r.message for r in search_logs(logs, offset=offset, limit=30).collect()] == whole[offset : offset + 30]
+
+
+def test_log_pages_with_repeated_ids(spark):
+    ids = [None if i % 9 == 0 else i // 40 if i > 100 else 90 + i // 60 for i in range(300)]
+    rows = [(i, f"t{n % 5}", "INFO", f"m{n}", None, None, "t", None, None) for n, i in enumerate(ids)]
+    logs = spark.createDataFrame(rows, schemas.LOG)
+    whole = [r.message for r in search_logs(logs).collect()]
+    assert len(whole) == 300
+    for offset in (1, 2, 39, 40, 150, 266, 267, 280, 300):
+        assert [r.message for r in search_logs(logs, offset=offset).collect()] == whole[offset:]

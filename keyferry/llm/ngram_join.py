@@ -33,6 +33,8 @@ SPARE = 1.15
 RUN_BYTES = 1 << 20
 #: A larger group of sets with one signature is compared in so large pieces, each pair of pieces in a task.
 PIECE = 4096
+#: The same for whole sets, all pairs of which are counted.
+LINK_PIECE = 512
 #: Signatures a task holds before it sends them on.
 HELD_SIGNATURES = 1 << 21
 
@@ -366,9 +368,39 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _verified(pairs: DataFrame, described: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the candidate pairs that link, by their whole sets; only the candidates' texts are read into sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _links_within(bucket: pa.Table) -> pa.Table:
+    """For each set of the components, or pieces of one, in a bucket: the documents whose sets it links with there."""
+    keys = [bucket.column(c).to_numpy() for c in ("component", "low", "high", "node")]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys[:3]], axis=0))
+    cuts = np.append(np.flatnonzero(new), len(order)).tolist()
+    sizes, copies, own = (bucket.column(c).to_numpy()[order] for c in ("n_shingles", "copies", "own"))
+    sketches, elements = bucket.column("sketch"), bucket.column("elements")
+    found = np.zeros(len(order), np.int64)
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a < 2:
+            continue
+        folded = _folded([sketches[i].as_py() for i in order[a:b].tolist()])
+        sets = [np.frombuffer(elements[i].as_buffer(), np.uint64) for i in order[a:b].tolist()]
+        within = keys[1][a] == keys[2][a]
+        for i in range(b - a):
+            if within:
+                others = np.arange(i + 1, b - a)
+            elif own[a + i] == keys[1][a]:
+                others = np.flatnonzero(own[a:b] == keys[2][a])
+            else:
+                continue
+            for j in others[_may_link(folded, sizes[a:b], i, others)].tolist():
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if linked(shared, len(sets[i]), len(sets[j])):
+                    found[a + i] += copies[a + j]
+                    found[a + j] += copies[a + i]
+    return pa.table({"node": pa.array(keys[3]), "links": pa.array(found)})
+
+
+def _whole_sets(wanted: DataFrame, described: DataFrame, texts: DataFrame) -> DataFrame:
+    """The elements of the wanted nodes' sets; only one text of each is read."""
     chosen = described.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("wanted_id"))
     ids = chosen.select("wanted_id").distinct()
     sets = (
@@ -376,14 +408,20 @@ def _verified(pairs: DataFrame, described: DataFrame, texts: DataFrame) -> DataF
         .mapInArrow(_sets_of, "node long, elements binary")
         .dropDuplicates(["node"])
     )
-    sets = checkpointed(sets.join(wanted, "node", "left_semi"))
+    return sets.join(wanted, "node", "left_semi")
+
+
+def _verified(pairs: DataFrame, described: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the candidate pairs that link, by their whole sets; only the candidates' texts are read into sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = checkpointed(_whole_sets(wanted, described, texts))
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("set_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b")), "b"
     )
     return checkpointed(met.select("a", "b", "set_a", "set_b").mapInArrow(_linked_pairs, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, links: bool = False) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document, one row per row of ``docs``.
 
     A document's set holds its distinct runs of five words in lower case, or all its words as one run if there are
@@ -396,6 +434,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     middle set meets the others; what links is joined to components. Then all pairs of sets with a common signature
     that still lie in different components are compared, so no link between components is lost, but a group of near
     copies isn't compared pair by pair. Groups over ``PIECE`` sets are compared piece by piece in different tasks.
+
+    With ``links`` there is also ``n_links``, the number of other rows that a row links with itself, those of an equal
+    set included. Linked sets lie in one component, so all pairs of distinct sets in a component are compared then, those
+    of components over ``LINK_PIECE`` sets piece by piece.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -413,8 +455,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     known = described.where("node IS NOT NULL").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
 
-    def pieces(members: DataFrame) -> DataFrame:
-        count = F.ceil(F.col("members") / PIECE).cast("int")
+    def pieces(members: DataFrame, most: int = PIECE) -> DataFrame:
+        count = F.ceil(F.col("members") / most).cast("int")
         own = F.pmod(F.xxhash64("node"), count)
         other = F.explode(F.sequence(F.lit(0), count - 1))
         return (
@@ -431,8 +473,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return rows.groupBy(bucket.alias("bucket")).applyInArrow(_bucket_pairs, "a long, b long").distinct()
 
     stars = candidate_pairs(shared.join(known, "node"))
-    links = _verified(checkpointed(stars), described, texts)
-    first = checkpointed(connected(links))
+    near = _verified(checkpointed(stars), described, texts)
+    first = checkpointed(connected(near))
     located = shared.join(first.withColumnRenamed("id", "node"), "node", "left").select(
         "signature", "node", "members", F.coalesce("component", "node").alias("component")
     )
@@ -444,15 +486,35 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = located.join(open_groups.select("signature"), "signature", "left_semi").join(known, "node")
     others = candidate_pairs(rest, "component")
     more = _verified(checkpointed(others), described, texts)
-    roots = connected(links.unionByName(more)).select(F.col("id").alias("node"), "component")
+    roots = connected(near.unionByName(more)).select(F.col("id").alias("node"), "component")
+    counted = []
+    if links:
+        roots = checkpointed(roots)
+        copies = described.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
+        members = roots.join(roots.groupBy("component").agg(F.count("*").alias("members")), "component")
+        sets = _whole_sets(roots.select("node"), described, texts)
+        compared = pieces(members, LINK_PIECE).join(known.join(copies, "node").join(sets, "node"), "node")
+        bucket = F.pmod(F.xxhash64("component", "low", "high"), F.lit(4 * parts))
+        found = (
+            compared.select(
+                "component", "low", "high", "own", "node", "n_shingles", "copies", "sketch", "elements", bucket.alias("bucket")
+            )
+            .groupBy("bucket")
+            .applyInArrow(_links_within, "node long, links long")
+            .groupBy("node")
+            .agg(F.sum("links").alias("links"))
+        )
+        described = described.join(copies.join(found, "node", "left"), "node", "left")
+        counted = [F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links")]
     rooted = described.join(roots, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("root")
+        "doc_id", "n_shingles", F.coalesce("component", "node").alias("root"), *counted
     )
     smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(smallest, "root", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *(["n_links"] if links else []),
     )
 
 

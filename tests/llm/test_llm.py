@@ -272,6 +272,32 @@ def test_ngram_join(spark, docs, doubled, empty, rows):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("piece", [ngram_join.LINK_PIECE, 3])
+def test_ngram_links(spark, doubled, piece, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LINK_PIECE", piece)
+    rng = random.Random(9)
+    more = []
+    for size in (8, 60, 90):
+        base = prose(rng, size).split()
+        for _ in range(14):
+            words = base.copy()
+            for _ in range(rng.randrange(1 + size // 12)):
+                words[rng.randrange(size)] = "changed%d" % rng.randrange(9)
+            more.append((1000 + len(more), " ".join(words)))
+    more += [more[20], (None, more[20][1]), (None, more[30][1])]
+    texts = doubled.select("doc_id", "text").where("doc_id IS NULL OR doc_id <> 16")
+    docs = texts.unionByName(spark.createDataFrame(more, texts.schema))
+    sets = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
+    expected = [
+        (i, len(s), sum(bool(s and t) and 100 * len(s & t) >= 80 * len(s | t) for _, t in sets) - bool(s)) for i, s in sets
+    ]
+    found = ngram_join.jaccard_components(docs, links=True)
+    ours = [(r.doc_id, r.n_shingles, r.n_links) for r in found.collect()]
+    assert sorted(ours, key=repr) == sorted(expected, key=repr) and max(n for _, _, n in ours) > 3
+    same = ngram_join.jaccard_components(docs).collect()
+    assert sorted(map(repr, same)) == sorted(map(repr, found.drop("n_links").collect()))
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(4)
     for size in (5, 6, 9, 20, 60, 150, 400, 1500):

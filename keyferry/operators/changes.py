@@ -2,146 +2,26 @@
 
 Events are ordered by (ts, offset, node_id). The fold keeps, per key, the last write (set or del) and
 the last expire. Both are maxima, so folding is associative and repeated or late events do no harm.
-Renames are settled before: each becomes a del of the old key and a set of what that key held at the time.
+Renames are settled before (``renames``): each becomes a del of the old key and a set of what that key held at the time.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyferry import schemas
 from keyferry.functions.values import normal_ttl
 from keyferry.operators.limits import few_enough
-from keyferry.session import scratch_path
+from keyferry.operators.renames import ORDER, settle_renames, steps_of
+from keyferry.session import stored
 
-ORDER = ["ts", "offset", "node_id"]
 # What a settled rename brings along besides value and TTL.
-CARRIED = {"type": "string", "node": "int", "fallback": "string"}
-
-
-def _steps(changes: DataFrame) -> DataFrame:
-    """Events with a rename as a del of the old key and a ``move`` to the new one. One to the same key is nothing."""
-    same = [F.col(c) for c in ORDER]
-
-    def event(key: str, op: Column, value: Column, origin: Column) -> Column:
-        return F.struct(
-            *same, F.col(key).alias("key"), op.alias("op"), value.alias("value"), F.col("ttl_s"), origin.alias("origin")
-        )
-
-    absent = F.lit(None).cast("string")
-    plain = F.array(event("key", F.col("op"), F.col("value"), absent))
-    moved = F.array(event("key", F.lit("del"), absent, absent), event("new_key", F.lit("move"), absent, F.col("key")))
-    rows = changes if "new_key" in changes.columns else changes.withColumn("new_key", absent)
-    rows = rows.filter(~((F.col("op") == "rename") & F.col("key").eqNullSafe(F.col("new_key"))))
-    return rows.select(F.inline(F.when(F.col("op") == "rename", moved).otherwise(plain)))
-
-
-def _held_before(steps: DataFrame, moves: DataFrame) -> DataFrame:
-    """For each move, the last write of its old key before it, and the last expire between the two.
-
-    Running maxima within hours, joined with the running maxima of the hours before: a key with very many events
-    is spread over its hours.
-    """
-    keys = moves.select(F.col("origin").alias("key")).distinct()
-    hour = F.coalesce(F.date_trunc("hour", "ts"), F.timestamp_seconds(F.lit(-(2**40)))).alias("hour")
-    at = F.struct(*ORDER).alias("at")
-    write = F.when(F.col("op").isin("set", "del", "move"), F.struct(*ORDER, "op", "value", "ttl_s"))
-    expire = F.when(F.col("op") == "expire", F.struct(*ORDER, "ttl_s"))
-    events = steps.join(keys, "key", "left_semi").select(
-        "key", hour, at, F.lit(1).alias("rank"), write.alias("write"), expire.alias("expire")
-    )
-    probes = moves.select(F.col("origin").alias("key"), hour, at, F.lit(0).alias("rank"), F.col("key").alias("new_key"))
-    so_far = Window.partitionBy("key", "hour").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    within = (
-        events.unionByName(probes, allowMissingColumns=True)
-        .select("key", "hour", "at", "rank", "new_key", *[F.max(c).over(so_far).alias(c) for c in ("write", "expire")])
-        .filter(F.col("rank") == 0)
-    )
-    before = Window.partitionBy("key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = events.groupBy("key", "hour").agg(F.max("write").alias("write"), F.max("expire").alias("expire"))
-    earlier = hours.select("key", "hour", *[F.max(c).over(before).alias(f"_{c}") for c in ("write", "expire")])
-    return within.join(earlier, ["key", "hour"]).select(
-        "new_key",
-        "at",
-        F.col("key").alias("origin"),
-        F.coalesce("write", "_write").alias("write"),
-        F.coalesce("expire", "_expire").alias("expire"),
-    )
+CARRIED = {"type": "string", "node": "int", "fallback": "string", "absent": "boolean"}
 
 
 def _order(event: Column) -> Column:
     return F.struct(*[event[c].alias(c) for c in ORDER])
 
 
-def settle_renames(changes: DataFrame, target: DataFrame) -> DataFrame:
-    """Events without renames: the new key is set to value, type, TTL and node of the old key at that time.
-
-    That state comes from the log before the rename or else from ``target``. Chains of renames are followed by
-    doubling steps, so a chain of n takes about log2(n) joins of the renames with themselves; nothing else is
-    read again. If the chain ends at a key that was not there, the rename is a set without a value.
-    """
-    spark = changes.sparkSession
-    steps = _steps(changes)
-    plain = steps.filter(F.col("op") != "move").drop("origin")
-    moves = steps.filter(F.col("op") == "move")
-    if moves.isEmpty():
-        return plain
-    moves = moves.groupBy("key", *ORDER).agg(F.max("origin").alias("origin"))
-    write, expire = F.col("write"), F.col("expire")
-    valid = expire.isNotNull() & (write.isNull() | (_order(expire) > _order(write)))
-    links = _held_before(steps, moves).select(
-        "new_key",
-        "at",
-        "origin",
-        F.coalesce(write["op"], F.lit("base")).alias("state"),
-        F.when(write["op"] == "move", _order(write)).alias("next"),
-        write["value"].alias("value"),
-        valid.alias("has_ttl"),
-        F.when(valid, expire["ttl_s"]).when(write["op"] == "set", write["ttl_s"]).alias("ttl_s"),
-    )
-    while True:
-        path = scratch_path(spark, "renames")
-        links.write.parquet(path)
-        links = spark.read.schema(links.schema).parquet(path)
-        is_open = F.col("state") == "move"
-        waiting = links.filter(is_open)
-        if waiting.isEmpty():
-            break
-        ahead = links.select(
-            F.col("new_key").alias("origin"),
-            F.col("at").alias("next"),
-            F.struct(*[c for c in links.columns if c not in ("new_key", "at")]).alias("ahead"),
-        )
-        n = F.col("ahead")
-        followed = waiting.join(ahead, ["origin", "next"]).select(
-            "new_key",
-            "at",
-            *[n[c].alias(c) for c in ("origin", "state", "next", "value")],
-            (F.col("has_ttl") | n["has_ttl"]).alias("has_ttl"),
-            F.when(F.col("has_ttl"), F.col("ttl_s")).otherwise(n["ttl_s"]).alias("ttl_s"),
-        )
-        links = links.filter(~is_open).unionByName(followed)
-
-    origins = links.select(F.col("origin").alias("key")).distinct()
-    held = target.join(origins, "key", "left_semi").select(
-        F.col("key").alias("origin"),
-        F.struct("type", "value", normal_ttl(F.col("ttl_s")).alias("ttl_s"), "node").alias("held"),
-    )
-    was_set = F.col("state") == "set"
-    from_target = (F.col("state") == "base") & F.col("held").isNotNull()
-    there = was_set | from_target
-    settled = links.join(held, "origin", "left").select(
-        "at.*",
-        F.col("new_key").alias("key"),
-        F.lit("set").alias("op"),
-        F.when(was_set, F.col("value")).when(from_target, F.col("held.value")).alias("value"),
-        F.when(there & (was_set | F.col("has_ttl")), F.col("ttl_s")).when(from_target, F.col("held.ttl_s")).alias("ttl_s"),
-        F.when(there, F.coalesce("held.type", F.lit("string"))).alias("type"),
-        F.when(there, F.coalesce("held.node", F.lit(0))).alias("node"),
-        F.when(was_set, F.col("held.value")).alias("fallback"),
-    )
-    return plain.unionByName(settled, allowMissingColumns=True)
-
-
 def fold_changes(changes: DataFrame) -> DataFrame:
     """Last write and last expire per key, as structs ``write`` and ``expire``.
 
@@ -150,7 +30,7 @@ def fold_changes(changes: DataFrame) -> DataFrame:
     """
     if "new_key" in changes.columns:
         op = F.when(F.col("op") == "move", "set").otherwise(F.col("op"))
-        changes = _steps(changes).withColumn("op", op)
+        changes = steps_of(changes).withColumn("op", op)
     for name, kind in CARRIED.items():
         if name not in changes.columns:
             changes = changes.withColumn(name, F.lit(None).cast(kind))
@@ -173,13 +53,17 @@ def apply_folds(
     """Target after the folded changes.
 
     A set without a value takes value and type from ``source``, where the key lives now; if the source
-    lacks it too, the target row stays. An expire counts only after the last write.
+    lacks it too, the target row stays, unless a rename found the key gone. An expire counts only after the last write.
 
     Pass ``few`` when few keys are expected to change. If a count finds their number and bytes small, they are
     broadcast to the target: its untouched rows pass through, and only the touched ones are shuffled.
     """
     target = target.select(schemas.KEYSPACE.names)
-    if not few or not few_enough(folds):
+    if not few:
+        return _changed(target.join(folds, "key", "full_outer"), source)
+    # kept, since they are counted and then used twice
+    folds = stored(folds, "folds")
+    if not few_enough(folds):
         return _changed(target.join(folds, "key", "full_outer"), source)
     keys = F.broadcast(folds.select("key"))
     touched = folds.join(target.join(keys, "key", "left_semi"), "key", "left")
@@ -202,7 +86,8 @@ def _changed(joined: DataFrame, source: DataFrame | None) -> DataFrame:
     is_set = F.coalesce(write["op"] == "set", F.lit(False))
     is_del = F.coalesce(write["op"] == "del", F.lit(False))
     looked_up = is_set & write["value"].isNull() & F.col("_value").isNotNull()
-    new_value = F.coalesce(write["value"], F.col("_value"), write["fallback"], F.col("value"))
+    known = ~F.coalesce(write["absent"], F.lit(False))
+    new_value = F.coalesce(write["value"], F.col("_value"), write["fallback"], F.when(known, F.col("value")))
     written = F.when(is_set, new_value).otherwise(F.col("value"))
     expired = expire.isNotNull() & (write.isNull() | (_order(expire) > _order(write)))
     ttl = F.when(expired, expire["ttl_s"]).when(is_set, write["ttl_s"]).otherwise(F.col("ttl_s"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from keyferry.functions.ranking import top_rows
 from keyferry.functions.values import canonical_value, digest, normal_ttl
-from keyferry.operators.limits import BROADCAST_KEYS, few_enough
+from keyferry.operators.digests import compare_digests, digest_rows
+from keyferry.session import stored
 
 DEFAULT_SAMPLE = 10_000
 
@@ -38,13 +39,15 @@ def verify_rows(
 ) -> DataFrame:
     """Each source key as ``matched``, ``mismatched`` or ``missing`` in the target.
 
-    When ``source`` is a sample of known size, pass it: a sample found small by count and bytes is broadcast to the
-    target scan, so the target is read once and not shuffled. ``keep`` names source columns to carry along.
+    When ``source`` is a sample, pass its size: its digests are then taken once and stored, and Spark, which knows the
+    bytes of what is stored, sends few of them to the target scan, so that the target is read once and not shuffled.
+    ``keep`` names source columns to carry along.
     """
     left = _digests(source, compare_ttl, *keep)
     right = _digests(target, compare_ttl)
-    if sample_size is not None and sample_size <= BROADCAST_KEYS and few_enough(source):
-        right = right.join(F.broadcast(left.select("key")), "key", "left_semi")
+    if sample_size is not None:
+        left = stored(left, "sample")
+        right = right.join(left.select("key"), "key", "left_semi")
     right = right.select(*[F.col(c).alias(c if c == "key" else f"_{c}") for c in right.columns])
     joined = left.join(right, "key", "left")
     compared = ["type", "digest"] + (["ttl_s"] if compare_ttl else [])
@@ -110,22 +113,28 @@ def verify_two_level(source: DataFrame, target: DataFrame, group: Column, n: int
 
     ``group`` is an expression over ``key`` or ``type``, so that both sides fall into the same groups.
     Rows: per group the sample summary (level 1) and, where it failed, the full summary (level 2).
+
+    The full check compares digest tables of the failing groups, which are at most as many as the sample's rows, by their
+    slots: keys meet only where digest sums differ, and a group's rows never meet at all.
     """
-    sampled = verify_by_group(verify_rows(sample_keys(source, n), target, sample_size=n), group)
-    failing = sampled.filter(F.col("matched_keys") < F.col("total_keys")).select("group")
-    # digests come before the join on groups, so that no value is shuffled by a key with few values
-    suspects = [
-        _digests(side, False).withColumn("group", group).join(failing, "group", "left_semi") for side in (source, target)
-    ]
+    sampled = stored(verify_by_group(verify_rows(sample_keys(source, n), target, sample_size=n), group), "sampled-groups")
+    first = sampled.withColumn("extra_keys", F.lit(0).cast("long")).withColumn("level", F.lit(1))
+    failing = sampled.filter(F.col("matched_keys") < F.col("total_keys")).select(F.col("group").alias("_group"))
+    if failing.isEmpty():
+        return first
+
+    def suspects(side: DataFrame) -> DataFrame:
+        of_groups = side.join(failing, group.eqNullSafe(F.col("_group")), "left_semi")
+        return stored(digest_rows(of_groups, hashed=True), "digests")
+
     own = F.col("status") != "extra"
     checked = (
-        _compare_all(*suspects)
+        compare_digests(suspects(source), suspects(target))
         .groupBy(group.alias("group"))
         .agg(F.count_if(own).alias("total_keys"), *_counts()[1:], F.count_if(~own).alias("extra_keys"))
         .withColumn("consistency_rate", _rate())
         .withColumn("level", F.lit(2))
     )
-    first = sampled.withColumn("extra_keys", F.lit(0).cast("long")).withColumn("level", F.lit(1))
     return first.unionByName(checked)
 
 

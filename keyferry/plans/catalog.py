@@ -8,7 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from keyferry.functions.slots import slot, slot_bucket
 from keyferry.functions.values import digest, octets
-from keyferry.operators import changes, clusters, convergence, filters, history, largekeys, merge, progress, slots, verify
+from keyferry.operators import (
+    changes,
+    clusters,
+    convergence,
+    digests,
+    filters,
+    history,
+    largekeys,
+    merge,
+    progress,
+    slots,
+    verify,
+)
 from keyferry.operators import logs as log_ops
 from keyferry.operators.filters import KeyFilter
 from keyferry.operators.logs import LogFilter
@@ -360,6 +372,26 @@ def verify_full_summary(spark, sf):
     return verify.verify_full_summary(verify.verify_full(views.source(spark, sf), views.target(spark, sf)))
 
 
+def _digest_tables(spark, sf):
+    sides = views.source(spark, sf), views.target(spark, sf)
+    return [digests.stored_digests(digests.digest_rows(side)) for side in sides]
+
+
+@query
+def verify_tree(spark, sf):
+    return digests.compare_digests(*_digest_tables(spark, sf))
+
+
+@query
+def verify_tree_faults(spark, sf):
+    return digests.compare_digests(*_digest_tables(spark, sf), with_matched=False)
+
+
+@query
+def differing_ranges(spark, sf):
+    return digests.range_report(*_digest_tables(spark, sf), ranges=256)
+
+
 @query
 def canonical_values(spark, sf):
     rows = verify.canonical_values(views.typed(spark, sf))

@@ -400,34 +400,33 @@ APPLY_RENAMES = """
     UNION ALL SELECT key, (ts, "offset"), 'del', NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR FROM ren WHERE op = 'rename' AND key <> new_key
     UNION ALL SELECT new_key, (ts, "offset"), 'move', NULL::VARCHAR, NULL::BIGINT, key FROM ren WHERE op = 'rename' AND key <> new_key),
   x AS (SELECT key, (ts, "offset") AS moment, ttl_s FROM ren WHERE op = 'expire'),
-  -- questions: what each key holds in the end (moment null), and what each moved key held when it moved
-  asked AS (SELECT origin AS key, moment FROM w WHERE op = 'move'
-    UNION ALL SELECT DISTINCT key, NULL FROM (SELECT key FROM w UNION ALL SELECT key FROM users)),
+  -- questions: what each key holds in the end (moment null), and what old and new key of each rename held before it
+  asked AS (SELECT origin AS key, moment FROM w WHERE op = 'move' UNION SELECT key, moment FROM w WHERE op = 'move'
+    UNION SELECT key, NULL FROM (SELECT key FROM w UNION SELECT key FROM users)),
   last_w AS (SELECT a.key, a.moment, max(w.moment) AS w_at FROM asked a LEFT JOIN w ON w.key = a.key AND (a.moment IS NULL OR w.moment < a.moment)
     GROUP BY ALL),
   answer AS (SELECT l.key, l.moment, l.w_at, max(x.moment) AS x_at FROM last_w l LEFT JOIN x ON x.key = l.key
       AND (l.moment IS NULL OR x.moment < l.moment) AND (l.w_at IS NULL OR x.moment > l.w_at) GROUP BY ALL),
   step AS (SELECT a.key, a.moment, w.moment AS w_at, coalesce(w.op, 'base') AS op, w.value, w.ttl_s, w.origin,
-      x.moment IS NOT NULL AS expired, x.ttl_s AS x_ttl
-    FROM answer a LEFT JOIN w ON w.key = a.key AND w.moment = a.w_at LEFT JOIN x ON x.key = a.key AND x.moment = a.x_at),
-  chase AS (SELECT key AS k, key, op, value, ttl_s, origin, w_at, expired, x_ttl, op = 'move' AS moved
+      x.moment IS NOT NULL AS expired, x.ttl_s AS x_ttl,
+      coalesce(w.op, 'base') = 'set' OR (w.op IS NULL AND u.key IS NOT NULL) AS there
+    FROM answer a LEFT JOIN w ON w.key = a.key AND w.moment = a.w_at LEFT JOIN x ON x.key = a.key AND x.moment = a.x_at
+      LEFT JOIN users u ON u.key = a.key),
+  -- a rename leads to its old key; if nothing was there, back to what the new key held before the rename
+  chase AS (SELECT key AS k, key, op, value, ttl_s, origin, w_at, expired, x_ttl, there,
+      [{'key': key, 'moment': w_at, 'expired': expired, 'x_ttl': x_ttl}][2:] AS back
     FROM step WHERE moment IS NULL
     UNION ALL
-    SELECT c.k, s.key, s.op, s.value, s.ttl_s, s.origin, s.w_at, c.expired OR s.expired,
-      CASE WHEN c.expired THEN c.x_ttl ELSE s.x_ttl END, true
-    FROM chase c JOIN step s ON c.op = 'move' AND s.key = c.origin AND s.moment = c.w_at),
-  ends AS (SELECT c.*, o.key IS NOT NULL AS had, o.type AS o_type, o.value AS o_value, o.ttl_s AS o_ttl, o.node AS o_node
-    FROM chase c LEFT JOIN users o ON o.key = c.key WHERE c.op <> 'move'),
-  own AS (SELECT e.*, e.op = 'set' OR (e.op = 'base' AND e.had) AS there, s.expired AS own_expired, s.x_ttl AS own_ttl,
-      u.type AS u_type, u.value AS u_value, u.node AS u_node
-    FROM ends e JOIN step s ON s.key = e.k AND s.moment IS NULL LEFT JOIN users u ON u.key = e.k),
-  state AS (SELECT k AS key,
-      CASE WHEN there AND moved THEN coalesce(o_type, 'string') ELSE coalesce(u_type, 'string') END AS type,
-      CASE WHEN there THEN coalesce(value, o_value, u_value) WHEN moved THEN u_value END AS value,
-      greatest(coalesce(CASE WHEN there AND expired THEN x_ttl WHEN there AND op = 'set' THEN ttl_s WHEN there THEN o_ttl
-        WHEN own_expired THEN own_ttl END, 0), 0) AS ttl_s,
-      CASE WHEN there AND moved THEN coalesce(o_node, 0) ELSE coalesce(u_node, 0) END AS node
-    FROM own)
+    SELECT c.k, s.key, s.op, s.value, s.ttl_s, s.origin, s.w_at, c.over.expired OR s.expired,
+      CASE WHEN c.over.expired THEN c.over.x_ttl ELSE s.x_ttl END, s.there, c.back
+    FROM (SELECT k, CASE WHEN op = 'move' THEN {'key': origin, 'moment': w_at, 'expired': expired, 'x_ttl': x_ttl} ELSE back[-1] END AS over,
+        CASE WHEN op = 'move' THEN list_append(back, {'key': key, 'moment': w_at, 'expired': expired, 'x_ttl': x_ttl}) ELSE back[:-2] END AS back
+      FROM chase WHERE op = 'move' OR (NOT there AND len(back) > 0)) c
+    JOIN step s ON s.key = c.over.key AND s.moment = c.over.moment),
+  state AS (SELECT c.k AS key, coalesce(u.type, 'string') AS type, coalesce(c.value, u.value) AS value,
+      greatest(coalesce(CASE WHEN c.expired THEN c.x_ttl WHEN c.op = 'set' THEN c.ttl_s ELSE u.ttl_s END, 0), 0) AS ttl_s,
+      coalesce(u.node, 0) AS node
+    FROM chase c LEFT JOIN users u ON u.key = c.key WHERE c.there AND c.op <> 'move')
   SELECT * FROM state WHERE value IS NOT NULL"""
 define("apply_renames", "users chg", APPLY_RENAMES)
 
@@ -472,6 +471,8 @@ define(
     f"""SELECT {COUNTS}, {RATE} FROM checked WHERE key IN (SELECT key FROM src ORDER BY md5(key), key LIMIT 10000)""",
 )
 define("verify_full", "src tgt checked", "SELECT * FROM checked")
+define("verify_tree", "src tgt checked", "SELECT * FROM checked")
+define("verify_tree_faults", "src tgt checked", "SELECT * FROM checked WHERE status <> 'matched'")
 define("verify_full_summary", "src tgt checked", f"SELECT {COUNTS}, {EXTRA}, {RATE} FROM checked")
 
 
@@ -507,6 +508,17 @@ define(
   SELECT ({slot_of("key")} * 32 // 16384)::INT AS "group", {COUNTS}, {RATE} FROM checked WHERE status <> 'extra'
   GROUP BY 1""",
 )
+define(
+    "differing_ranges",
+    "src tgt checked",
+    f"""
+  SELECT (slot * 256 // 16384)::INT AS range, sum(source_keys)::BIGINT AS source_keys, sum(target_keys)::BIGINT AS target_keys,
+    count(*) AS slots, count(*) FILTER (faults > 0) AS differing_slots
+  FROM (SELECT {slot_of("key")} AS slot, count(*) FILTER (status <> 'extra') AS source_keys,
+      count(*) FILTER (status <> 'missing') AS target_keys, count(*) FILTER (status <> 'matched') AS faults
+    FROM checked GROUP BY 1)
+  GROUP BY 1""",
+)
 define(
     "verify_two_level",
     "src tgt checked",

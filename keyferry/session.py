@@ -3,7 +3,8 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the jobs are written for. Sizes (shuffle partitions, memory) belong to the cluster.
 RECOMMENDED_CONF = {
@@ -42,3 +43,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="keyferry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the scratch folder and read back: computed once, of known size, and without their lineage."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def stored_with_count(rows: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """``stored``, and how many rows meet the condition, counted as they are written."""
+    seen = Observation()
+    found = stored(rows.observe(seen, F.count_if(condition).alias("rows")), name)
+    return found, seen.get["rows"]

@@ -114,6 +114,57 @@ def test_renames_equal_replay_without_a_source(spark, keyspace, renames):
     assert state_of(apply_changes(base, events(spark, *shuffled), few=True)) == expected
 
 
+def some_renames(seed, keys, n, renames):
+    """Events over few keys; old keys of renames are often absent."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        op = "rename" if rng.random() < renames else rng.choice(["set", "expire", "del", "del"])
+        key, new = f"k{rng.randrange(keys)}", f"k{rng.randrange(keys)}" if op == "rename" else None
+        ttl = i + 1 if op in ("set", "expire") else None
+        rows.append((i * 61, i, op, key, f"v{i}" if op == "set" else None, ttl, new))
+    return rows
+
+
+@pytest.mark.parametrize("seed, keys, n, share", [(1, 6, 300, 0.5), (2, 40, 400, 0.9), (3, 12, 300, 1.0), (4, 200, 500, 0.8)])
+def test_renames_of_absent_keys_equal_replay(spark, keyspace, seed, keys, n, share):
+    names = [f"k{i}" for i in range(0, keys, 3)]
+    rows = some_renames(seed, keys, n, share)
+    base = keyspace(*[(k, f"base {k}", 77) for k in names])
+    expected = replay({k: (f"base {k}", 77) for k in names}, rows)
+    shuffled = random.Random(seed).sample(rows, n) + rows[: n // 5]
+    assert state_of(apply_changes(base, events(spark, *shuffled))) == expected
+    if seed == 2:
+        assert state_of(apply_changes(base, events(spark, *shuffled), few=True)) == expected
+
+
+def test_rename_of_an_absent_key_undoes_nothing(spark, keyspace):
+    base = keyspace(("t", "old", 5))
+    rows = [
+        (1, 1, "set", "b", "1", 9, None),
+        (2, 2, "rename", "gone", None, None, "b"),
+        (3, 3, "set", "t", "new", None, None),
+        (4, 4, "rename", "gone", None, None, "t"),
+        (5, 5, "del", "b", None, None, None),
+        (6, 6, "rename", "gone", None, None, "b"),
+        (7, 7, "rename", "b", None, None, "c"),
+        (8, 8, "expire", "t", None, 30, None),
+        (9, 9, "rename", "c", None, None, "t"),
+    ]
+    assert state_of(apply_changes(base, events(spark, *rows[:4]))) == {"b": ("1", 9), "t": ("new", 0)}
+    assert state_of(apply_changes(base, events(spark, *rows))) == {"t": ("new", 30)}
+    # a deleted key of the target does not come back by a rename of an absent one
+    again = [(1, 1, "del", "t", None, None, None), (2, 2, "rename", "gone", None, None, "t")]
+    assert state_of(apply_changes(base, events(spark, *again))) == {}
+    # unless the source has it now
+    assert state_of(apply_changes(base, events(spark, *again), keyspace(("t", "here")))) == {"t": ("here", 0)}
+
+
+def test_renames_without_keys_are_nothing(spark, keyspace):
+    rows = [(1, 1, "rename", "a", None, None, None), (2, 2, "rename", None, None, None, "a"), (3, 3, "rename", "a", None, None, "a")]
+    assert state_of(apply_changes(keyspace(("a", "1")), events(spark, *rows))) == {"a": ("1", 0)}
+
+
 def test_long_chain_keeps_value_type_and_ttl(spark, keyspace):
     base = keyspace(("c0", "v", 40))
     chain = [(i, i, "rename", f"c{i}", None, None, f"c{i + 1}") for i in range(33)]

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyferry.llm.common import (
     checkpointed,
@@ -20,6 +21,7 @@ from keyferry.llm.common import (
     whole_text,
 )
 from keyferry.llm.components import connected
+from keyferry.session import stored
 
 WORDS = 5
 #: Two sets link when NUMERATOR * union <= DENOMINATOR * intersection.
@@ -439,6 +441,56 @@ def jaccard_components(docs: DataFrame, links: bool = False) -> DataFrame:
     set included. Linked sets lie in one component, so all pairs of distinct sets in a component are compared then, those
     of components over ``LINK_PIECE`` sets piece by piece.
     """
+    rooted = _rooted(docs, links)
+    smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(smallest, "root", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *(["n_links"] if links else []),
+    )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: of the smallest id, and of that id's rows the one whose set has the
+    smallest name.
+
+    A row is dropped for its own text only, so rows of one id with texts of their own all stay, and a repeated row leaves
+    one. Documents without words and rows without an id stay too. All columns are carried, whatever their names.
+
+    It is decided on short rows which ids go; the texts are moved once. Only ids that occur more than once, or whose rows
+    part, need their sets' names to tell rows apart.
+    """
+    rooted = checkpointed(_rooted(docs).where("doc_id IS NOT NULL").select("doc_id", "node", "root"))
+    first = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    # rows without words are like no other, repeated ones too
+    judged = rooted.join(first, "root", "left").select(
+        "doc_id", "node", F.coalesce(F.col("first") == F.struct("doc_id", "node"), F.lit(True)).alias("stays")
+    )
+    per_id = judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or("stays").alias("any"))
+    verdicts = stored(per_id.where("rows > 1 OR NOT any"), "near-copies")
+    gone = verdicts.select(F.col("doc_id").alias("id"))
+    several = verdicts.where("rows > 1 AND any").select(F.col("doc_id").alias("id"))
+    staying = judged.where("stays AND node IS NOT NULL").join(several, judged["doc_id"] == several["id"], "left_semi")
+    staying = staying.select(F.col("doc_id").alias("id"), F.col("node").alias("of_set")).distinct()
+    # named apart from any column of the documents
+    name = max(docs.columns, key=len) + "_set"
+    again = docs.join(several, docs["doc_id"] == several["id"], "left_semi").withColumn(name, _set_name(whole_text()))
+    worded = again.join(staying, (again["doc_id"] == staying["id"]) & (again[name] == staying["of_set"]), "left_semi")
+    once = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    return (
+        once.unionByName(worded.dropDuplicates(["doc_id", name]).select(docs.columns))
+        .unionByName(again.where(F.col(name).isNull()).select(docs.columns))
+    )
+
+
+@F.arrow_udf(T.LongType())
+def _set_name(texts: pa.Array) -> pa.Array:
+    return pa.array([set_id(s) if len(s) else None for sets in shingle_sets(texts) for s in sets], pa.int64())
+
+
+def _rooted(docs: DataFrame, links: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``node`` (its set's name), ``root`` of its component, ``n_links``."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     described = checkpointed(
@@ -506,15 +558,8 @@ def jaccard_components(docs: DataFrame, links: bool = False) -> DataFrame:
         )
         described = described.join(copies.join(found, "node", "left"), "node", "left")
         counted = [F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links")]
-    rooted = described.join(roots, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("root"), *counted
-    )
-    smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(smallest, "root", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        *(["n_links"] if links else []),
+    return described.join(roots, "node", "left").select(
+        "doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("root"), *counted
     )
 
 

@@ -12,35 +12,48 @@ from keyferry.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold; the classifier learns from the labelled ones."""
+    """Documents whose toxicity score is under the threshold; the classifier learns from the labelled ones.
+
+    A null or empty text is scored like any other; long texts are scored whole. Repeated rows and rows without an id are
+    judged one by one, by text alone. Without documents or labels nothing goes.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score_column(whole_text(), model) < toxicity.THRESHOLD)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; repeated rows of one id leave one row.
+    """Of each group of linked documents the one with the smallest id; repeated rows leave one row.
 
-    Documents without words link with nothing and all stay. Rows without an id cannot be named, so they stay too.
+    A row goes for its own text only, so rows of one id with texts of their own stay. Documents without words link with
+    nothing and all stay. Rows without an id cannot be named, so they stay too. An empty table gives no rows.
     """
-    found = ngram_join.jaccard_components(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    # a repeated row has its double's id and component
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return ngram_join.one_of_each(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts replaced by the names of their kinds."""
+    """Personal data in the texts replaced by the names of their kinds. Every row stays; a null text stays null."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix draws them, shard by shard in shuffled order."""
+    """The documents as often as the mix draws them, shard by shard in shuffled order.
+
+    Documents without words have no size and are not drawn. Repeated rows and rows without an id take part one by one; a
+    null source is a source of its own. An empty table gives no rows.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their texts, the number of ids, and whether decoding gives the text back."""
+    """The documents with ``ids`` of their texts, their number ``n_tokens``, and whether decoding gives the text back,
+    ``round_trip``. A column of the documents that has such a name is kept as ``doc_ids`` and so on. A null text has no ids.
+    """
+    for name in docs.columns:
+        if name.lower() in ("ids", "n_tokens", "round_trip"):
+            free = f"doc_{name}"
+            while free.lower() in map(str.lower, docs.columns):
+                free = f"doc_{free}"
+            docs = docs.withColumnRenamed(name, free)
     coded = docs.withColumn("ids", piece_codec.ids_column(whole_text(), VOCABULARY))
     decoded = piece_codec.text_column(F.col("ids"), VOCABULARY)
     # a blank's mark inside a text is decoded as a blank

@@ -169,7 +169,12 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     vocabulary = F.array(*map(F.lit, license_words(templates)))
     found = docs.select("doc_id", words_of(whole_text()).alias("words"))
     found = found.withColumn("held", F.array_intersect("words", vocabulary))
-    whole = lambda t: F.size(F.array_except(t.key, F.col("held"))) == 0
+    # the rarest words first: few files hold them
+    whole = lambda t: (
+        F.array_contains("held", t["first"])
+        & F.array_contains("held", t["second"])
+        & (F.size(F.array_except(t.key, F.col("held"))) == 0)
+    )
     found = found.withColumn("possible", F.filter(_index(templates, idf), whole))
     looked_up = F.array_distinct(
         F.flatten(F.transform("possible", lambda t: F.array(t["first"], t["second"])))

@@ -35,8 +35,10 @@ SPARE = 1.15
 RUN_BYTES = 1 << 20
 #: A larger group of sets with one signature is compared in so large pieces, each pair of pieces in a task.
 PIECE = 4096
-#: The same for whole sets, all pairs of which are counted.
-LINK_PIECE = 512
+#: The same for the sets of a component, all pairs of which are counted.
+LINK_PIECE = 2048
+#: Elements that several sets of a component hold are counted so many at a time.
+COLUMNS = 1024
 #: Signatures a task holds before it sends them on.
 HELD_SIGNATURES = 1 << 21
 
@@ -370,6 +372,43 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _from_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set the elements that only it or only its component's centre holds."""
+    for batch in batches:
+        held = [
+            np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)
+            for x, y in zip(batch.column("elements"), batch.column("centre"))
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array([d.tobytes() for d in held], pa.binary())], names=["node", "apart"]
+        )
+
+
+def _in_both(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of every left and every right array; of an array with itself any number."""
+    found = np.zeros((len(left), len(right)), np.float32)
+    values, owners = [], []
+    for side in (left, right):
+        values.append(np.concatenate([np.zeros(0, np.uint64), *side]))
+        owners.append(np.repeat(np.arange(len(side)), [len(d) for d in side]))
+    if left is right:
+        common, times = np.unique(values[0], return_counts=True)
+        common = common[times > 1]
+    else:
+        common = np.intersect1d(*values)
+    for start in range(0, len(common), COLUMNS):
+        some = common[start : start + COLUMNS]
+        held = []
+        for side, value, owner in zip((left, right), values, owners):
+            at = np.minimum(np.searchsorted(some, value), len(some) - 1)
+            there = some[at] == value
+            cells = np.zeros((len(side), len(some)), np.float32)
+            cells[owner[there], at[there]] = 1
+            held.append(cells)
+        found += held[0] @ held[1].T
+    return found.astype(np.int64)
+
+
 def _links_within(bucket: pa.Table) -> pa.Table:
     """For each set of the components, or pieces of one, in a bucket: the documents whose sets it links with there."""
     keys = [bucket.column(c).to_numpy() for c in ("component", "low", "high", "node")]
@@ -378,26 +417,25 @@ def _links_within(bucket: pa.Table) -> pa.Table:
     new = np.append(True, np.any([k[1:] != k[:-1] for k in keys[:3]], axis=0))
     cuts = np.append(np.flatnonzero(new), len(order)).tolist()
     sizes, copies, own = (bucket.column(c).to_numpy()[order] for c in ("n_shingles", "copies", "own"))
-    sketches, elements = bucket.column("sketch"), bucket.column("elements")
+    apart = bucket.column("apart").combine_chunks()
     found = np.zeros(len(order), np.int64)
     for a, b in zip(cuts, cuts[1:]):
-        if b - a < 2:
-            continue
-        folded = _folded([sketches[i].as_py() for i in order[a:b].tolist()])
-        sets = [np.frombuffer(elements[i].as_buffer(), np.uint64) for i in order[a:b].tolist()]
+        rows = np.arange(a, b)
         within = keys[1][a] == keys[2][a]
-        for i in range(b - a):
-            if within:
-                others = np.arange(i + 1, b - a)
-            elif own[a + i] == keys[1][a]:
-                others = np.flatnonzero(own[a:b] == keys[2][a])
-            else:
-                continue
-            for j in others[_may_link(folded, sizes[a:b], i, others)].tolist():
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if linked(shared, len(sets[i]), len(sets[j])):
-                    found[a + i] += copies[a + j]
-                    found[a + j] += copies[a + i]
+        left = rows if within else rows[own[rows] == keys[1][a]]
+        right = rows if within else rows[own[rows] == keys[2][a]]
+        held = {i: np.frombuffer(apart[int(order[i])].as_buffer(), np.uint64) for i in rows.tolist()}
+        lengths = {side: np.array([len(held[i]) for i in rows.tolist()]) for side, rows in ((0, left), (1, right))}
+        lefts = [held[i] for i in left.tolist()]
+        common = _in_both(lefts, lefts if within else [held[i] for i in right.tolist()])
+        # what two sets do not share follows from their distances to the centre and what these have in common
+        shared = (sizes[left][:, None] + sizes[right] - (lengths[0][:, None] + lengths[1] - 2 * common)) // 2
+        links = linked(shared, sizes[left][:, None], sizes[right])
+        if within:
+            np.fill_diagonal(links, False)
+        found[left] += links @ copies[right]
+        if not within:
+            found[right] += links.T @ copies[left]
     return pa.table({"node": pa.array(keys[3]), "links": pa.array(found)})
 
 
@@ -439,7 +477,8 @@ def jaccard_components(docs: DataFrame, links: bool = False) -> DataFrame:
 
     With ``links`` there is also ``n_links``, the number of other rows that a row links with itself, those of an equal
     set included. Linked sets lie in one component, so all pairs of distinct sets in a component are compared then, those
-    of components over ``LINK_PIECE`` sets piece by piece.
+    of components over ``LINK_PIECE`` sets piece by piece. A set is sent there as its difference from a centre of its
+    component, a few bytes for a near copy, and pairs are counted from what these differences have in common.
     """
     rooted = _rooted(docs, links)
     smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -543,13 +582,33 @@ def _rooted(docs: DataFrame, links: bool = False) -> DataFrame:
     if links:
         roots = checkpointed(roots)
         copies = described.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
-        members = roots.join(roots.groupBy("component").agg(F.count("*").alias("members")), "component")
-        sets = _whole_sets(roots.select("node"), described, texts)
-        compared = pieces(members, LINK_PIECE).join(known.join(copies, "node").join(sets, "node"), "node")
+        ends = near.unionByName(more).select(F.explode(F.array("a", "b")).alias("node"))
+        degrees = roots.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node")
+        # the set with the most links known so far is a component's centre
+        centres = degrees.groupBy("component").agg(
+            F.count("*").alias("members"), F.max(F.struct("degree", "node"))["node"].alias("centre_node")
+        )
+        members = checkpointed(roots.join(centres, "component"))
+        count = F.ceil(F.col("members") / LINK_PIECE).cast("int")
+        centre_sets = _whole_sets(centres.select(F.col("centre_node").alias("node")), described, texts)
+        # a large component's centre is sent to each of its pieces
+        sent = centres.join(centre_sets, F.col("centre_node") == F.col("node")).select(
+            "component", F.explode(F.sequence(F.lit(0), count - 1)).alias("own"), F.col("elements").alias("centre")
+        )
+        apart = (
+            members.withColumn("own", F.pmod(F.xxhash64("node"), count))
+            .join(_whole_sets(roots.select("node"), described, texts), "node")
+            .join(sent, ["component", "own"])
+            .select("node", "elements", "centre")
+            .mapInArrow(_from_centre, "node long, apart binary")
+        )
+        compared = pieces(members.drop("centre_node"), LINK_PIECE).join(
+            known.select("node", "n_shingles").join(copies, "node").join(checkpointed(apart), "node"), "node"
+        )
         bucket = F.pmod(F.xxhash64("component", "low", "high"), F.lit(4 * parts))
         found = (
             compared.select(
-                "component", "low", "high", "own", "node", "n_shingles", "copies", "sketch", "elements", bucket.alias("bucket")
+                "component", "low", "high", "own", "node", "n_shingles", "copies", "apart", bucket.alias("bucket")
             )
             .groupBy("bucket")
             .applyInArrow(_links_within, "node long, links long")

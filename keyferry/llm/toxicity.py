@@ -79,15 +79,17 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
         pairs = np.unique(r.astype(np.int64) << BUCKET_BITS | f)
         rows.append((pairs >> BUCKET_BITS).astype(np.int32) + start)
         found.append((pairs & (size - 1)).astype(np.int32))
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    feature = np.concatenate(found) if found else np.zeros(0, np.int32)
+    row = np.concatenate([np.zeros(0, np.int32), *rows])
+    del rows
+    feature = np.concatenate([np.zeros(0, np.int32), *found])
+    del found
     labels = np.asarray(labels, dtype=np.float64)
     ones = float(labels.sum())
     if not 0 < ones < len(labels):
         # one class only: nothing to tell apart
         return Model(np.zeros(size, np.float32), -4.0 if not ones else 4.0)
-    with_one = np.bincount(feature, labels[row], minlength=size)
-    with_zero = np.bincount(feature, 1 - labels[row], minlength=size)
+    with_one = np.bincount(feature[(labels == 1)[row]], minlength=size).astype(np.float64)
+    with_zero = np.bincount(feature, minlength=size) - with_one
     ratio = np.log((with_one + SMOOTHING) / (ones + 2 * SMOOTHING)) - np.log(
         (with_zero + SMOOTHING) / (len(labels) - ones + 2 * SMOOTHING)
     )

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyferry.functions.slots import slot
+from keyferry.functions.slots import SLOT_COUNT, slot
 
 MODES = ("all", "prefix", "pattern", "contains", "keys")
 
@@ -125,10 +125,16 @@ def filter_report(rows: DataFrame, rule: KeyFilter) -> DataFrame:
     return filter_verdict(rows, rule).groupBy("rule", "kept").agg(F.count("*").alias("keys"))
 
 
-def select_in_slots(rows: DataFrame, first: int, last: int | None = None, strict_tag: bool = False) -> DataFrame:
+def select_in_slots(
+    rows: DataFrame, first: int, last: int | None = None, strict_tag: bool = False, buckets: int | None = None
+) -> DataFrame:
     """Rows whose slot lies in [first, last]; one slot when ``last`` is omitted.
 
-    Uses a stored ``slot`` column when there is one.
+    Uses a stored ``slot`` column when there is one. For a snapshot stored by ``slot_bucket`` pass its number of
+    ``buckets``: folders of other buckets are then not read.
     """
     position = F.col("slot") if "slot" in rows.columns else slot(F.col("key"), strict_tag)
+    if buckets is not None:
+        low, high = (s * buckets // SLOT_COUNT for s in (first, first if last is None else last))
+        rows = rows.filter(F.col("slot_bucket").between(low, high))
     return rows.filter(position.between(first, first if last is None else last))

@@ -26,7 +26,7 @@ from keyferry.operators.filters import KeyFilter
 from keyferry.operators.logs import LogFilter
 from keyferry.plans import migration, views
 from keyferry.session import scratch_path
-from keyferry.sources import keyspace, nodes, writers
+from keyferry.sources import keyspace, nodes, versions, writers
 from keyferry.sources import logs as log_files
 from keyferry.streaming import reports, sync
 
@@ -194,6 +194,15 @@ def select_in_slots(spark, sf):
     return filters.select_in_slots(views.source(spark, sf), 4096, 8191)
 
 
+@query
+def select_in_slots_snapshot(spark, sf):
+    """The same from a snapshot stored by slot bucket: other buckets are not read."""
+    path = scratch_path(spark, "by-bucket")
+    writers.write_snapshot(views.source(spark, sf), path, 32)
+    stored = spark.read.parquet(path)
+    return filters.select_in_slots(stored, 4000, 8191, buckets=32).drop("slot_bucket")
+
+
 # --- slots
 
 
@@ -276,6 +285,16 @@ def merge_result_replace(spark, sf):
     return merge.merge_result(views.source(spark, sf), views.target(spark, sf), "replace")
 
 
+@query
+def merge_versions(spark, sf):
+    """A first version from the target, then two merges that write the buckets they change."""
+    path = scratch_path(spark, "versions")
+    versions.write_version(views.target(spark, sf), path, 32)
+    versions.merge_version(views.source(spark, sf), path, "skip")
+    versions.merge_version(views.known(spark, sf), path, "replace")
+    return versions.read_version(spark, path).drop("slot_bucket")
+
+
 @query
 def conflict_log(spark, sf):
     return merge.conflict_log(_plan(spark, sf, "skip"))
@@ -698,6 +717,13 @@ def liveness_sessions(spark, sf):
     return reports.read_sessions(spark, f"{path}/rows")
 
 
+@query
+def stream_silences(spark, sf):
+    path = scratch_path(spark, "silences")
+    drain(reports.stream_silences(_progress_stream(spark, sf), f"{path}/rows", f"{path}/checkpoint", trigger=DRAIN))
+    return reports.read_silences(spark, f"{path}/rows")
+
+
 @query
 def stream_convergence(spark, sf):
     path = scratch_path(spark, "convergence")

@@ -196,6 +196,13 @@ define(
     "src tgt",
     f"SELECT key, type, value, ttl_s, ({slot_of('key')} * 64 // 16384)::INT AS slot_bucket FROM ({MERGED_SKIP})",
 )
+define(
+    "merge_versions",
+    "src tgt known",
+    f"""
+  SELECT key, type, value, greatest(ttl_s, 0) AS ttl_s, node FROM known
+  UNION ALL SELECT * FROM ({MERGED_SKIP}) WHERE key NOT IN (SELECT key FROM known)""",
+)
 define("append_metrics", "metric", "SELECT * FROM metric")
 
 derive(
@@ -291,6 +298,7 @@ define(
     "src verdicts",
     "SELECT rule, rule = 'include_prefix' AS kept, count(*) AS keys FROM verdicts GROUP BY ALL",
 )
+define("select_in_slots_snapshot", "src", f"SELECT * FROM src WHERE {slot_of('key')} BETWEEN 4000 AND 8191")
 define("select_in_slots", "src", f"SELECT * FROM src WHERE {slot_of('key')} BETWEEN 4096 AND 8191")
 
 # --- slots
@@ -810,4 +818,15 @@ define(
                 FROM prog))
     GROUP BY worker_id, session""",
 )
+define(
+    "stream_silences",
+    "prog",
+    """
+    SELECT worker_id, max(epoch_us(ts)) AS last_beat_us, max(epoch_us(ts)) + 30000000 AS silent_us, count(*) AS beats
+    FROM (SELECT *, sum(opens) OVER (PARTITION BY worker_id ORDER BY ts) AS session
+          FROM (SELECT *, (ts - lag(ts) OVER (PARTITION BY worker_id ORDER BY ts) > INTERVAL 30 SECOND)::INT AS opens
+                FROM prog))
+    GROUP BY worker_id, session
+    HAVING max(epoch_us(ts)) + 30000000 <= (SELECT max(epoch_us(ts)) - 10000000 FROM prog)""",
+)
 define("stream_convergence", "conv judged", STOP)

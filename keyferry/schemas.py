@@ -92,5 +92,6 @@ PROGRESS = struct(
 PROGRESS_TOTALS = struct(task_id=STRING, worker_id=STRING, keys=LONG, bytes=LONG, errors=LONG)
 THROUGHPUT = struct(start_us=LONG, end_us=LONG, task_id=STRING, keys=LONG, bytes=LONG)
 SESSION = struct(start_us=LONG, end_us=LONG, worker_id=STRING, beats=LONG)
+SILENCE = struct(worker_id=STRING, last_beat_us=LONG, silent_us=LONG, beats=LONG)
 CONVERGENCE = struct(task_id=STRING, iteration=INT, change_count=LONG, total_keys=LONG, ts=TIME)
 NODE_INFO = struct(cluster=STRING, node=STRING, section=STRING, info=STRING, keys=LONG, maxclients=INT)

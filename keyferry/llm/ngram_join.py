@@ -353,13 +353,19 @@ def _bucket_pairs(bucket: pa.Table) -> pa.Table:
 
 
 def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that link, and the elements that only one of their sets holds."""
     for batch in batches:
-        keep = []
+        keep, apart = [], []
         for x, y in zip(batch.column("set_a"), batch.column("set_b")):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            between = np.setxor1d(x, y, assume_unique=True)
+            keep.append(linked((len(x) + len(y) - len(between)) // 2, len(x), len(y)))
+            apart.append(between.tobytes() if keep[-1] else None)
         keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c).filter(keep) for c in ("a", "b")], pa.array(apart, pa.binary()).filter(keep)],
+            names=["a", "b", "apart"],
+        )
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,14 +457,18 @@ def _whole_sets(wanted: DataFrame, described: DataFrame, texts: DataFrame) -> Da
     return sets.join(wanted, "node", "left_semi")
 
 
-def _verified(pairs: DataFrame, described: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the candidate pairs that link, by their whole sets; only the candidates' texts are read into sets."""
+def _verified(pairs: DataFrame, described: DataFrame, texts: DataFrame, links: bool) -> DataFrame:
+    """Those of the candidate pairs that link, by their whole sets; only the candidates' texts are read into sets.
+
+    With ``links`` also what the two sets do not share (``apart``).
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = checkpointed(_whole_sets(wanted, described, texts))
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("set_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b")), "b"
     )
-    return checkpointed(met.select("a", "b", "set_a", "set_b").mapInArrow(_linked_pairs, "a long, b long"))
+    found = met.select("a", "b", "set_a", "set_b").mapInArrow(_linked_pairs, "a long, b long, apart binary")
+    return checkpointed(found if links else found.select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, links: bool = False) -> DataFrame:
@@ -564,8 +574,8 @@ def _rooted(docs: DataFrame, links: bool = False) -> DataFrame:
         return rows.groupBy(bucket.alias("bucket")).applyInArrow(_bucket_pairs, "a long, b long").distinct()
 
     stars = candidate_pairs(shared.join(known, "node"))
-    near = _verified(checkpointed(stars), described, texts)
-    first = checkpointed(connected(near))
+    near = _verified(checkpointed(stars), described, texts, links)
+    first = checkpointed(connected(near.select("a", "b")))
     located = shared.join(first.withColumnRenamed("id", "node"), "node", "left").select(
         "signature", "node", "members", F.coalesce("component", "node").alias("component")
     )
@@ -576,34 +586,44 @@ def _rooted(docs: DataFrame, links: bool = False) -> DataFrame:
     )
     rest = located.join(open_groups.select("signature"), "signature", "left_semi").join(known, "node")
     others = candidate_pairs(rest, "component")
-    more = _verified(checkpointed(others), described, texts)
-    roots = connected(near.unionByName(more)).select(F.col("id").alias("node"), "component")
+    more = _verified(checkpointed(others), described, texts, links)
+    roots = connected(near.select("a", "b").unionByName(more.select("a", "b"))).select(F.col("id").alias("node"), "component")
     counted = []
     if links:
         roots = checkpointed(roots)
         copies = described.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
-        ends = near.unionByName(more).select(F.explode(F.array("a", "b")).alias("node"))
+        both = near.unionByName(more)
+        either = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("ab", "ba")]
+        ends = both.select("apart", F.inline(F.array(*either)))
         degrees = roots.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node")
         # the set with the most links known so far is a component's centre
-        centres = degrees.groupBy("component").agg(
-            F.count("*").alias("members"), F.max(F.struct("degree", "node"))["node"].alias("centre_node")
+        centres = checkpointed(
+            degrees.groupBy("component").agg(
+                F.count("*").alias("members"), F.max(F.struct("degree", "node"))["node"].alias("centre_node")
+            )
         )
         members = checkpointed(roots.join(centres, "component"))
+        # most sets were compared with the centre itself
+        direct = ends.join(centres.select(F.col("centre_node").alias("other")), "other").select("node", "apart")
+        of_centres = centres.select(F.col("centre_node").alias("node"), F.lit(b"").alias("apart"))
+        direct = checkpointed(direct.dropDuplicates(["node"]).unionByName(of_centres))
+        rest = checkpointed(members.join(direct, "node", "left_anti"))
         count = F.ceil(F.col("members") / LINK_PIECE).cast("int")
-        centre_sets = _whole_sets(centres.select(F.col("centre_node").alias("node")), described, texts)
+        of_rest = centres.join(rest.select("component").distinct(), "component", "left_semi")
+        centre_sets = _whole_sets(of_rest.select(F.col("centre_node").alias("node")), described, texts)
         # a large component's centre is sent to each of its pieces
-        sent = centres.join(centre_sets, F.col("centre_node") == F.col("node")).select(
+        sent = of_rest.join(centre_sets, F.col("centre_node") == F.col("node")).select(
             "component", F.explode(F.sequence(F.lit(0), count - 1)).alias("own"), F.col("elements").alias("centre")
         )
         apart = (
-            members.withColumn("own", F.pmod(F.xxhash64("node"), count))
-            .join(_whole_sets(roots.select("node"), described, texts), "node")
+            rest.withColumn("own", F.pmod(F.xxhash64("node"), count))
+            .join(_whole_sets(rest.select("node"), described, texts), "node")
             .join(sent, ["component", "own"])
             .select("node", "elements", "centre")
             .mapInArrow(_from_centre, "node long, apart binary")
         )
         compared = pieces(members.drop("centre_node"), LINK_PIECE).join(
-            known.select("node", "n_shingles").join(copies, "node").join(checkpointed(apart), "node"), "node"
+            known.select("node", "n_shingles").join(copies, "node").join(direct.unionByName(checkpointed(apart)), "node"), "node"
         )
         bucket = F.pmod(F.xxhash64("component", "low", "high"), F.lit(4 * parts))
         found = (

@@ -16,7 +16,6 @@ PIVOT_SAMPLE = 512
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 #: Each query block meets the rows in so many shares, one task each.
 SHARES = 16
-STEP = 256
 
 
 def whole_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -93,43 +92,73 @@ class _Best:
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
-    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.concatenate([self.scores[query], scores])
-        ids = np.concatenate([self.found[query], ids])
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.scores[query], self.found[query] = scores[order], ids[order]
-
-
-def _search(best: _Best, ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray) -> None:
-    """Bring a block of rows to its queries.
-
-    The table of distances to the pivots gives, for every query and row, the largest of the lower bounds
-    ``|d(q, p) - d(x, p)|`` of their distance, and so an upper bound of the inner product:
-    ``(|q|^2 + |x|^2 - d^2) / 2``. Rows are evaluated by falling bound; a query stops at the first one whose bound is
-    under its k-th score. A bound that equals it may still hide a tie and is evaluated.
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in the scores (a row for each of some queries) of rows with these ids."""
+        reach = self.scores[queries, -1]
+        if scores.shape[1] > self.k:
+            # no more than k of them, and ties with the last, can stay
+            reach = np.maximum(reach, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        at, column = np.nonzero((scores >= reach[:, None]) & (scores > -np.inf))
+        some = np.unique(at)
+        if not len(some):
+            return
+        touched = queries[some]
+        query = np.concatenate([np.repeat(touched, self.k), queries[at]])
+        score = np.concatenate([self.scores[touched].ravel(), scores[at, column]])
+        found = np.concatenate([self.found[touched].ravel(), ids[column]])
+        order = np.lexsort((found, -score, query))
+        query, score, found = query[order], score[order], found[order]
+        starts = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        first = np.repeat(starts, np.diff(np.append(starts, len(query))))
+        keep = np.arange(len(query)) - first < self.k
+        self.scores[touched] = score[keep].reshape(-1, self.k)
+        self.found[touched] = found[keep].reshape(-1, self.k)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    squares = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+def _search(best: _Best, ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray) -> int:
+    """Bring a block of rows to its queries; returns for how many pairs the inner product was taken.
+
+    The rows are grouped by their nearest pivot. The table of distances to the pivots gives for every group the smallest
+    and largest distance to each pivot, and with these, for every query, the largest of the lower bounds of its distance
+    to any row of the group; so also an upper bound of the inner products: ``(|q|^2 + |x|^2 - d^2) / 2``. Groups are
+    evaluated by falling bound, each by one matrix product, for the queries whose k-th score is not above the bound. A bound
+    that equals it may still hide a tie and is evaluated.
     """
     dims = max(rows.shape[1], best.vectors.shape[1], pivots.shape[1])
     widen = lambda a: np.pad(a, ((0, 0), (0, dims - a.shape[1]))) if a.shape[1] < dims else a
     rows, queries, pivots = widen(rows), widen(best.vectors), widen(pivots)
     row_norms, query_norms = (rows * rows).sum(1), (queries * queries).sum(1)
-    to_rows = np.sqrt(((rows[:, None, :] - pivots[None]) ** 2).sum(2)) if len(pivots) else np.zeros((len(rows), 0))
-    to_queries = np.sqrt(((queries[:, None, :] - pivots[None]) ** 2).sum(2)) if len(pivots) else np.zeros((len(queries), 0))
-    for q in range(len(queries)):
-        apart = np.abs(to_rows - to_queries[q]).max(1, initial=0.0)
-        bound = (query_norms[q] + row_norms - np.maximum(apart - 1e-6, 0.0) ** 2) / 2 + 1e-6 * (
-            1 + query_norms[q] + row_norms
-        ) ** 0.5
+    to_rows, to_queries = _distances(rows, pivots), _distances(queries, pivots)
+    nearest = to_rows.argmin(1) if len(pivots) else np.zeros(len(rows), np.int64)
+    order = np.argsort(nearest, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(nearest[order]) != 0)), len(rows))
+    groups = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+    bounds = np.empty((len(groups), len(queries)))
+    for g, members in enumerate(groups):
+        least, most = to_rows[members].min(0), to_rows[members].max(0)
+        apart = np.maximum(to_queries - most, least - to_queries).max(1, initial=0.0)
+        norm = row_norms[members].max()
+        # what rounding may take from a distance between vectors of these lengths
+        slack = 1e-6 * np.sqrt(1 + query_norms + norm)
+        bound = (query_norms + norm - np.maximum(apart - slack, 0.0) ** 2) / 2 + slack
         # no score exceeds the product of the lengths either
-        bound = np.minimum(bound, np.sqrt(query_norms[q] * row_norms) + 1e-3)
-        bound[ids == best.ids[q]] = -np.inf
-        alive = np.flatnonzero((bound >= best.scores[q, -1]) & (bound > -np.inf))
-        alive = alive[np.argsort(-bound[alive], kind="stable")]
-        for start in range(0, len(alive), STEP):
-            some = alive[start : start + STEP]
-            some = some[bound[some] >= best.scores[q, -1]]
-            if not len(some):
-                break
-            best.add(q, rows[some] @ queries[q], ids[some])
+        bounds[g] = np.minimum(bound, np.sqrt(query_norms * norm) + 1e-3)
+    evaluated = 0
+    for g in np.argsort(-bounds.mean(1), kind="stable").tolist():
+        alive = np.flatnonzero(bounds[g] >= best.scores[:, -1])
+        if not len(alive):
+            continue
+        members = groups[g]
+        scores = queries[alive] @ rows[members].T
+        scores[ids[members] == best.ids[alive][:, None]] = -np.inf
+        best.add(alive, scores, ids[members])
+        evaluated += scores.size
+    return evaluated
 
 
 def top_k(

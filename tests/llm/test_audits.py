@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from test_llm import SCHEMA, odd_texts, prose
 
-from keyferry.llm import eigen, filter_audit, license_scan, whitening
+from keyferry.llm import eigen, filter_audit, license_scan, topk, whitening
 
 
 @pytest.fixture(scope="module")
@@ -257,3 +257,31 @@ def test_idf_counts_documents(spark):
     docs = spark.createDataFrame([(1, "mit mit"), (1, "mit"), (None, "apache"), (2, None)], "doc_id long, text string")
     idf = license_scan.word_idf(docs)
     assert idf["mit"] == pytest.approx(math.log(5 / 3)) and idf["apache"] == pytest.approx(math.log(5 / 2))
+
+
+# --- top-k by pivots
+
+
+def test_few_pairs_are_evaluated_in_clusters():
+    rng = np.random.default_rng(5)
+    centres = np.floor(rng.standard_normal((16, 24)) * 400)
+    rows = np.floor(np.repeat(centres, 250, 0) + rng.standard_normal((4000, 24)) * 4)
+    ids = rng.permutation(4000)
+    chosen = rng.choice(4000, 64, replace=False)
+    best = topk._Best(ids[chosen], rows[chosen], 10)
+    evaluated = sum(topk._search(best, ids[a : a + 1000], rows[a : a + 1000], centres) for a in range(0, 4000, 1000))
+    assert evaluated < 0.25 * 64 * 4000
+    for n, q in enumerate(chosen):
+        scores = rows @ rows[q]
+        order = [i for i in np.lexsort((ids, -scores)) if i != q][:10]
+        assert best.found[n].tolist() == ids[order].tolist() and best.scores[n].tolist() == scores[order].tolist()
+
+
+def test_ties_and_few_rows():
+    rows = np.array([[1.0, 0.0]] * 5 + [[0.0, 0.0]] * 3)
+    best = topk._Best(np.array([3, 99]), np.array([[1.0, 0.0], [0.0, 0.0]]), 4)
+    topk._search(best, np.array([7, 3, 5, 1, 2, 0, 4, 6]), rows, rows[:1])
+    assert best.found.tolist() == [[1, 2, 5, 7], [0, 1, 2, 3]] and best.scores.tolist() == [[1.0] * 4, [0.0] * 4]
+    empty = topk._Best(np.array([3]), np.array([[1.0, 0.0]]), 4)
+    topk._search(empty, np.array([3, 8]), rows[:2], np.zeros((0, 0)))
+    assert empty.found[0, 0] == 8 and empty.scores[0, 1] == -np.inf

@@ -27,6 +27,7 @@ from keyferry.operators.logs import LogFilter
 from keyferry.plans import migration, views
 from keyferry.session import scratch_path
 from keyferry.sources import keyspace, nodes, versions, writers
+from keyferry.sources import changes as changes_files
 from keyferry.sources import logs as log_files
 from keyferry.streaming import reports, sync
 
@@ -86,7 +87,8 @@ def scan_log_text(spark, sf):
 @query
 def change_feed(spark, sf):
     path = scratch_path(spark, "change-feed")
-    feed = views.changes_of(views.table_stream(spark, sf, "events"))
+    views.changes(spark, sf).write.parquet(f"{path}/log")
+    feed = changes_files.change_feed(spark, f"{path}/log", files_per_trigger=1)
     drain(reports.append_rows(feed, f"{path}/rows", f"{path}/checkpoint", DRAIN))
     rows = spark.read.schema(feed.schema).parquet(f"{path}/rows")
     return rows.select("node_id", "key", "op", "value", "ttl_s", F.unix_micros("ts").alias("ts_us"), "offset")
@@ -117,7 +119,10 @@ def _errors(spark, sf):
 def export_error_keys_csv(spark, sf):
     path = scratch_path(spark, "error-keys")
     writers.export_error_keys_csv(_errors(spark, sf), path)
-    return spark.read.text(path).filter(F.col("value") != '"Key","Type","Reason","Detail","Timestamp"')
+    # every file begins with the header, shown once
+    lines = spark.read.text(path)
+    header = F.col("value").startswith('"Key",')
+    return lines.filter(~header).unionByName(lines.filter(header).distinct())
 
 
 @query
@@ -289,7 +294,7 @@ def merge_result_replace(spark, sf):
 def merge_versions(spark, sf):
     """A first version from the target, then two merges that write the buckets they change."""
     path = scratch_path(spark, "versions")
-    versions.write_version(views.target(spark, sf), path, 32)
+    versions.write_version(views.target(spark, sf), path, 8)
     versions.merge_version(views.source(spark, sf), path, "skip")
     versions.merge_version(views.known(spark, sf), path, "replace")
     return versions.read_version(spark, path).drop("slot_bucket")

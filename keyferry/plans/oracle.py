@@ -229,7 +229,8 @@ define(
     "export_error_keys_csv",
     "att resolved errors",
     """SELECT '"' || key || '","' || type || '","' || reason || '","' || replace(detail, '"', '""') || '","' || timestamp
-         || '"' AS value FROM errors""",
+         || '"' AS value FROM errors
+       UNION ALL SELECT '"Key","Type","Reason","Detail","Timestamp"' """,
 )
 derive("failing", "SELECT * FROM logs WHERE level = 'ERROR' AND contains(lower(message), 'err')")
 LINE = """'[' || timestamp || '] [' || level || '] [req:' || request_id || '] [task:' || task_id

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 LINE_PATTERN = (
     r"(?s)^\[([^\]]*)\] \[([A-Z]+)\](?: \[req:([^\]]*)\])?(?: \[task:([^\]]*)\])?(?: \[([^\]]*)\])?"
-    r" (.*?)(?: (\{\".*\}))?$"
+    r" (.*?)(?: (\{\".*\}))?\z"
 )
 EXPORT_TITLE = "=== Log Export ==="
 STACK_TITLE = "Stack Trace:"

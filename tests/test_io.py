@@ -50,6 +50,13 @@ def test_log_text_round_trip(spark, tmp_path):
     assert newest[0].startswith(logs.EXPORT_TITLE) and "no source" in newest[1]
 
 
+@pytest.mark.parametrize("end", ["\u0085", "\u2028", "\u2029", "\x0b", "é"])
+def test_messages_keep_their_last_character(spark, end):
+    line = f"[2024-01-01 10:00:00.001] [INFO] done{end}"
+    row = logs.scan_log_text(spark.createDataFrame([(line,)], "value string")).first()
+    assert row.message == f"done{end}" and row.fields is None
+
+
 def test_error_key_csv(spark, tmp_path):
     rows = [("t", 1, 'quo"ted,\nkey', "hash", "failed", 'say "no"', NOW)]
     writers.export_error_keys_csv(spark.createDataFrame(rows, schemas.ERROR_KEY).coalesce(1), str(tmp_path / "csv"))

@@ -18,6 +18,7 @@ from keyferry.operators import (
     largekeys,
     merge,
     progress,
+    rules,
     slots,
     verify,
 )
@@ -189,6 +190,18 @@ def filter_keys_exclude_table(spark, sf):
     return filters.filter_keys(views.source(spark, sf), KeyFilter(exclude_table=views.listed_keys(spark, sf)))
 
 
+@query
+def options_decode(spark, sf):
+    decoded = rules.decode_options(views.run_options(spark, sf))
+    return decoded.select("id", "mode", "conflict_policy", F.size("prefixes").alias("prefixes"), F.size("keys").alias("keys"))
+
+
+@query
+def keys_of_runs(spark, sf):
+    found = rules.keys_of_runs(views.source(spark, sf), rules.decode_options(views.run_options(spark, sf)))
+    return found.groupBy("run_id").agg(F.count("*").alias("keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
 @query
 def filter_report(spark, sf):
     return filters.filter_report(views.source(spark, sf), MIXED)

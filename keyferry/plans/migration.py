@@ -10,7 +10,7 @@ from keyferry import schemas
 from keyferry.operators.filters import KeyFilter, filter_keys, filter_verdict
 from keyferry.operators.merge import merge_result, plan_merge
 from keyferry.operators.progress import migration_summary, progress
-from keyferry.operators.verify import DEFAULT_SAMPLE, sample_keys, verify_rows, verify_summary
+from keyferry.operators.verify import sample_keys, verify_rows, verify_summary
 from keyferry.session import scratch_path
 from keyferry.sources.keyspace import key_snapshot, scan_keyspace
 from keyferry.sources.writers import write_snapshot
@@ -20,7 +20,8 @@ from keyferry.sources.writers import write_snapshot
 class MigrationOptions:
     rule: KeyFilter = KeyFilter()
     policy: str = "skip_full_only"
-    sample: int = DEFAULT_SAMPLE
+    # rows of the source that are verified afterwards; all without a number
+    sample: int | None = None
     buckets: int = 64
 
 
@@ -49,6 +50,9 @@ def migrate(
     summary = progress(migration_summary(plan_merge(source, target, policy), dropped))
     write_snapshot(merge_result(source, target, policy), path, options.buckets)
     written = spark.read.parquet(path)
-    sampled = sample_keys(source, options.sample)
-    verification = verify_summary(verify_rows(sampled, written, sample_size=options.sample))
+    if options.sample is None:
+        checked = verify_rows(source, written)
+    else:
+        checked = verify_rows(sample_keys(source, options.sample), written, sample_size=options.sample)
+    verification = verify_summary(checked)
     return MigrationReport(summary, verification, written)

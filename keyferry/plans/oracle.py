@@ -302,6 +302,33 @@ define(
 define("select_in_slots_snapshot", "src", f"SELECT * FROM src WHERE {slot_of('key')} BETWEEN 4000 AND 8191")
 define("select_in_slots", "src", f"SELECT * FROM src WHERE {slot_of('key')} BETWEEN 4096 AND 8191")
 
+derive(
+    "opts",
+    """
+  SELECT 'task-' || c AS id, c,
+    CASE WHEN c % 500 IN (0, 7, 8) THEN 'all' WHEN c % 3 = 1 THEN 'keys' ELSE 'prefix' END AS mode,
+    ['order:' || (1000 + c % 9000), 'order:7' || (c % 1000)] AS prefixes, ['order:' || c, 'order:' || (c * 7), 'ghost:1'] AS keys,
+    CASE WHEN c % 500 IN (7, 8) THEN [] ELSE ['order:' || (10000 + c % 90000), 'order:' || (c * 7)] END AS excluded
+  FROM (SELECT c_custkey AS c FROM customer)""",
+)
+define(
+    "options_decode",
+    "opts",
+    """
+  SELECT id, mode, CASE WHEN c % 4 = 0 AND c % 500 NOT IN (7, 8) THEN 'replace' ELSE 'skip_full_only' END AS conflict_policy,
+    CASE WHEN c % 500 IN (7, 8) THEN 0 ELSE 2 END AS prefixes, CASE WHEN c % 500 IN (7, 8) THEN 0 ELSE 3 END AS keys FROM opts""",
+)
+define(
+    "keys_of_runs",
+    "src opts",
+    """
+  SELECT id AS run_id, count(*) AS keys, min(key) AS first_key, max(key) AS last_key FROM (
+    SELECT id, key, excluded FROM src JOIN (SELECT id, excluded, unnest(keys) AS key FROM opts WHERE mode = 'keys') USING (key)
+    UNION SELECT id, key, excluded FROM src, opts WHERE mode = 'all'
+    UNION SELECT id, key, excluded FROM src, opts WHERE mode = 'prefix' AND (starts_with(key, prefixes[1]) OR starts_with(key, prefixes[2])))
+  WHERE len(excluded) = 0 OR NOT (starts_with(key, excluded[1]) OR starts_with(key, excluded[2])) GROUP BY id""",
+)
+
 # --- slots
 
 define("with_slot", "raw", f"SELECT key, {slot_of('key')} AS slot FROM (SELECT DISTINCT key FROM raw)")

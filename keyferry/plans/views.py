@@ -293,6 +293,22 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored options of every run. Some keep all keys, some have no options or unreadable ones that keep all too."""
+    number = col("c_custkey")
+    prefixes = F.array(label("order:", 1000 + number % 9000), label("order:7", number % 1000))
+    rule = F.struct(
+        F.when(number % 500 == 0, "all").when(number % 3 == 1, "keys").otherwise("prefix").alias("mode"),
+        prefixes.alias("prefixes"),
+        F.array(label("order:", number), label("order:", number * 7), lit("ghost:1")).alias("keys"),
+        F.array(label("order:", 10_000 + number % 90_000), label("order:", number * 7)).alias("exclude_prefixes"),
+    )
+    policy = F.when(number % 4 == 0, "replace").when(number % 4 == 1, "unknown")
+    stored = F.to_json(F.struct(rule.alias("key_filter"), policy.alias("conflict_policy")))
+    config = F.when(number % 500 == 7, lit(None)).when(number % 500 == 8, "{broken").otherwise(stored)
+    return table(spark, sf_dir, "customer").select(label("task-", number).alias("id"), config.alias("config"))
+
+
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run: its orders, each standing for 5000 keys, by outcome."""
     status, low = col("o_orderstatus"), col("o_orderpriority") == "5-LOW"

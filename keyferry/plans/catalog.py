@@ -143,7 +143,7 @@ def export_logs_json(spark, sf):
 
 @query
 def run_report(spark, sf):
-    return writers.run_report(views.runs(spark, sf), views.run_stats(spark, sf), views.verify_batches(spark, sf))
+    return writers.run_report(views.run_records(spark, sf), views.stats_records(spark, sf), views.verify_records(spark, sf))
 
 
 @query

@@ -248,15 +248,25 @@ define(
     "run_report",
     "runs stats batches",
     """
-  SELECT id AS run_id, 1 AS section, to_json({'id': id, 'name': name, 'status': status, 'created_at': created_at})::VARCHAR
-    AS document FROM runs
+  , whole AS (SELECT r.*, c.c_nationkey AS n, c.c_mktsegment AS config FROM runs r JOIN customer c ON r.id = 'task-' || c.c_custkey),
+  more AS (SELECT 'task-' || o_custkey AS task_id, count(*) FILTER (o_totalprice > 300000) AS large_keys_count,
+    count(*) FILTER (o_orderstatus = 'O') AS skipped_keys_count, min(epoch_us(o_orderdate) // 1000000) AS start_time,
+    max(epoch_us(o_orderdate) // 1000000) AS end_time FROM orders GROUP BY o_custkey)
+  SELECT id AS run_id, 1 AS section, to_json({'id': id, 'name': name, 'status': status, 'source': 'cluster-' || n,
+    'target': 'cluster-' || (n + 1) % 25, 'config': config, 'created_at': created_at, 'updated_at': created_at + 30,
+    'started_at': CASE WHEN status <> 'pending' THEN created_at + 10 END,
+    'completed_at': CASE WHEN status IN ('completed', 'failed') THEN created_at + 50 END})::VARCHAR AS document FROM whole
   UNION ALL
-  SELECT id, 2, to_json({'total_keys': coalesce(total_keys, 0), 'migrated_keys': coalesce(migrated_keys, 0),
+  SELECT id, 2, to_json({'task_id': id, 'total_keys': coalesce(total_keys, 0), 'migrated_keys': coalesce(migrated_keys, 0),
     'total_bytes': coalesce(total_bytes, 0), 'migrated_bytes': coalesce(migrated_bytes, 0),
-    'error_count': coalesce(error_count, 0)})::VARCHAR FROM runs LEFT JOIN stats ON id = task_id
+    'large_keys_count': coalesce(large_keys_count, 0), 'skipped_keys_count': coalesce(skipped_keys_count, 0),
+    'error_count': coalesce(error_count, 0), 'start_time': start_time, 'end_time': end_time})::VARCHAR
+  FROM runs LEFT JOIN stats ON id = stats.task_id LEFT JOIN more ON id = more.task_id
   UNION ALL
-  SELECT task_id, 3, to_json({'id': id, 'batch_id': batch_id, 'total_keys': total_keys, 'matched_keys': matched_keys,
-    'created_at': created_at})::VARCHAR FROM batches WHERE task_id IN (SELECT id FROM runs)""",
+  SELECT task_id, 3, to_json({'id': id, 'task_id': task_id, 'batch_id': batch_id, 'total_keys': total_keys,
+    'matched_keys': matched_keys, 'mismatched_keys': mismatched_keys, 'missing_keys': missing_keys, 'extra_keys': id % 3,
+    'details': o_orderpriority, 'created_at': created_at})::VARCHAR
+  FROM batches JOIN orders ON id = o_orderkey WHERE task_id IN (SELECT id FROM runs)""",
 )
 define(
     "union_scans",

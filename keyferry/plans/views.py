@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyferry import schemas
 from keyferry.functions.values import octets
 from keyferry.session import apply_conf
 
@@ -359,6 +360,46 @@ def verify_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole run records."""
+    number, started, ended = col("c_custkey"), col("status") != "pending", col("status").isin("completed", "failed")
+    created = 1_700_000_000 + 60 * number
+    whole = runs(spark, sf_dir).join(
+        table(spark, sf_dir, "customer").select(label("task-", number).alias("id"), number, "c_nationkey", "c_mktsegment"), "id"
+    )
+    return whole.select(
+        "id",
+        "name",
+        "status",
+        label("cluster-", col("c_nationkey")).alias("source"),
+        label("cluster-", (col("c_nationkey") + 1) % 25).alias("target"),
+        col("c_mktsegment").alias("config"),
+        "created_at",
+        (created + 30).alias("updated_at"),
+        F.when(started, created + 10).alias("started_at"),
+        F.when(ended, created + 50).alias("completed_at"),
+    )
+
+
+def stats_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole stats records: ``run_stats`` with large and skipped keys and times."""
+    more = table(spark, sf_dir, "orders").groupBy(label("task-", col("o_custkey")).alias("task_id")).agg(
+        F.count_if(col("o_totalprice") > 300_000).alias("large_keys_count"),
+        F.count_if(col("o_orderstatus") == "O").alias("skipped_keys_count"),
+        F.min(epoch("o_orderdate")).alias("start_time"),
+        F.max(epoch("o_orderdate")).alias("end_time"),
+    )
+    return run_stats(spark, sf_dir).join(more, "task_id").select(schemas.STATS.names)
+
+
+def verify_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole verify records: ``verify_batches`` with extra keys and details."""
+    more = table(spark, sf_dir, "orders").select(
+        col("o_orderkey").alias("id"), (col("o_orderkey") % 3).cast("int").alias("extra_keys"), col("o_orderpriority").alias("details")
+    )
+    return verify_batches(spark, sf_dir).join(more, "id").select(schemas.VERIFY.names)
+
+
 def node_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four report sections per node. Some nodes miss their version or show an unreadable memory."""
     node, cluster = col("s_suppkey"), col("s_nationkey")

@@ -1,8 +1,10 @@
 """Sinks: snapshots, metric points, error-key CSV, log exports and run reports."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from keyferry import schemas
 from keyferry.functions.slots import slot, slot_bucket
 from keyferry.sources.logs import EXPORT_TITLE, RULE, log_line
 
@@ -77,29 +79,24 @@ def export_logs_text(logs: DataFrame, path: str, exported_at: str, **shown_filte
 def run_report(runs: DataFrame, stats: DataFrame, verifications: DataFrame) -> DataFrame:
     """Report of every run as JSON parts in reading order: task, stats, then verify results newest first.
 
-    One row per part instead of one document per run, so a run with very many verify batches is spread
-    over tasks. A run without stats gets a zero record.
+    Each part is a whole record (``schemas.RUN``, ``STATS``, ``VERIFY``), absent values as null. One row per part instead of
+    one document per run, so a run with very many verify batches is spread over tasks. A run without stats gets a zero
+    record without times.
     """
     zero = F.lit(0).cast("long")
-    task = runs.select(
-        F.col("id").alias("run_id"),
-        F.lit(1).alias("section"),
-        F.lit(0).cast("long").alias("newest"),
-        F.to_json(F.struct("id", "name", "status", "created_at")).alias("document"),
-    )
-    counts = ["total_keys", "migrated_keys", "total_bytes", "migrated_bytes", "error_count"]
+
+    def document(record: StructType, *columns: Column | str) -> Column:
+        return F.to_json(F.struct(*(columns or record.names)), {"ignoreNullFields": "false"}).alias("document")
+
+    task = runs.select(F.col("id").alias("run_id"), F.lit(1).alias("section"), zero.alias("newest"), document(schemas.RUN))
     filled = runs.select(F.col("id").alias("task_id")).join(stats, "task_id", "left")
+    times = ("task_id", "start_time", "end_time")
+    counts = [c if c in times else F.coalesce(F.col(c), zero).alias(c) for c in schemas.STATS.names]
     totals = filled.select(
-        F.col("task_id").alias("run_id"),
-        F.lit(2).alias("section"),
-        F.lit(0).cast("long").alias("newest"),
-        F.to_json(F.struct(*[F.coalesce(F.col(c), zero).alias(c) for c in counts])).alias("document"),
+        F.col("task_id").alias("run_id"), F.lit(2).alias("section"), zero.alias("newest"), document(schemas.STATS, *counts)
     )
     batches = verifications.join(runs.select(F.col("id").alias("task_id")), "task_id", "left_semi").select(
-        F.col("task_id").alias("run_id"),
-        F.lit(3).alias("section"),
-        F.col("created_at").alias("newest"),
-        F.to_json(F.struct("id", "batch_id", "total_keys", "matched_keys", "created_at")).alias("document"),
+        F.col("task_id").alias("run_id"), F.lit(3).alias("section"), F.col("created_at").alias("newest"), document(schemas.VERIFY)
     )
     parts = task.unionByName(totals).unionByName(batches)
     return parts.orderBy("run_id", "section", F.desc("newest"), "document").select("run_id", "section", "document")

@@ -1,6 +1,7 @@
 """The registered queries: every operator over whole tables."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -598,22 +599,31 @@ def retain_logs(spark, sf):
 
 @query
 def cascade_delete(spark, sf):
+    """The rows of every child table that stay, each as one line of its columns."""
+    runs = views.runs(spark, sf)
+    number = F.substring_index("id", "-", -1).cast("long")
+    assigned = slots.slot_ranges(runs.select(F.col("id").alias("task_id"), (1 + number % 4).alias("workers")))
+    large = largekeys.large_keys(views.documents(spark, sf), LARGE_BYTES)
+    of_task = views.label("task-", F.substring_index("key", ":", -1).cast("long") % 7)
     children = {
-        "verification_results": views.verify_batches(spark, sf),
-        "migration_stats": views.run_stats(spark, sf),
+        "slot_assignments": assigned.select("task_id", "worker_id", "slot_start", "slot_end"),
         "checkpoints": views.checkpoints(spark, sf),
-        "metrics": views.metrics(spark, sf),
-        "logs": views.logs(spark, sf),
+        "large_key_progress": large.select(of_task.alias("task_id"), "key", "bytes"),
+        "verification_results": views.verify_records(spark, sf),
+        "migration_stats": views.stats_records(spark, sf),
+        "metrics": views.metrics(spark, sf).withColumn("metric_value", F.col("metric_value").cast("decimal(18,4)")),
+        "logs": views.logs(spark, sf).select("task_id", "id", "level", "message", "request_id"),
     }
-    kept = history.cascade_delete(history.dropped_runs(views.runs(spark, sf)), children)
-    counts = [
-        rows.groupBy("task_id").agg(F.count("*").alias("rows")).withColumn("child", F.lit(name))
+    kept = history.cascade_delete(history.dropped_runs(runs), children)
+    lines = [
+        rows.select(
+            F.lit(name).alias("child"),
+            "task_id",
+            F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns if c != "task_id"]).alias("row"),
+        )
         for name, rows in kept.items()
     ]
-    first, *rest = counts
-    for count in rest:
-        first = first.unionByName(count)
-    return first.select("child", "task_id", "rows")
+    return reduce(DataFrame.unionByName, lines)
 
 
 @query

@@ -744,19 +744,28 @@ define("retain_runs", "runs", KEPT_RUNS)
 define("retain_logs", "logs", "SELECT * FROM logs ORDER BY id DESC LIMIT 5000")
 derive("dropped", f"SELECT id FROM runs WHERE id NOT IN (SELECT id FROM ({KEPT_RUNS}))")
 CHILDREN = {
-    "verification_results": "batches",
-    "migration_stats": "stats",
-    "checkpoints": "ckpt",
-    "metrics": "metric",
-    "logs": "logs",
+    "slot_assignments": """SELECT 'task-' || c AS task_id, concat_ws('|', 'worker-' || i, i * (16384 // w),
+      CASE WHEN i = w - 1 THEN 16383 ELSE (i + 1) * (16384 // w) - 1 END) AS row
+      FROM (SELECT c, w, unnest(range(w)) AS i FROM (SELECT c_custkey AS c, 1 + c_custkey % 4 AS w FROM customer))""",
+    "checkpoints": """SELECT task_id, concat_ws('|', worker_id, slot_id, cursor, keys_migrated, bytes_migrated, last_key, updated_at, seq) AS row
+      FROM ckpt""",
+    "large_key_progress": """SELECT 'task-' || doc_id % 7 AS task_id, concat_ws('|', key, strlen(value)) AS row
+      FROM docs WHERE strlen(value) >= 16384""",
+    "verification_results": """SELECT task_id, concat_ws('|', id, batch_id, total_keys, matched_keys, mismatched_keys, missing_keys, id % 3,
+      o_orderpriority, created_at) AS row FROM batches JOIN orders ON id = o_orderkey""",
+    "migration_stats": """SELECT task_id, concat_ws('|', total_keys, migrated_keys, total_bytes, migrated_bytes, large, skipped, error_count,
+      first, last) AS row FROM stats JOIN (SELECT 'task-' || o_custkey AS task_id, count(*) FILTER (o_totalprice > 300000) AS large,
+        count(*) FILTER (o_orderstatus = 'O') AS skipped, min(epoch_us(o_orderdate) // 1000000) AS first,
+        max(epoch_us(o_orderdate) // 1000000) AS last FROM orders GROUP BY o_custkey) USING (task_id)""",
+    "metrics": "SELECT task_id, concat_ws('|', metric_name, metric_value::DECIMAL(18,4), timestamp) AS row FROM metric",
+    "logs": "SELECT task_id, concat_ws('|', id, level, message, request_id) AS row FROM logs",
 }
 define(
     "cascade_delete",
-    "runs dropped batches stats ckpt metric logs",
+    "runs dropped batches stats ckpt metric logs docs",
     " UNION ALL ".join(
-        f"""SELECT '{child}' AS child, task_id, count(*) AS rows FROM {view}
-            WHERE task_id NOT IN (SELECT id FROM dropped) GROUP BY task_id"""
-        for child, view in CHILDREN.items()
+        f"""SELECT '{child}' AS child, task_id, row FROM ({rows}) WHERE task_id NOT IN (SELECT id FROM dropped)"""
+        for child, rows in CHILDREN.items()
     ),
 )
 define(

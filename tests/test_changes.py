@@ -5,6 +5,7 @@ import pytest
 from conftest import plan_of
 
 from keyferry import schemas
+from keyferry.operators import renames as renames_module
 from keyferry.operators.changes import apply_changes, fold_changes, merge_folds
 from keyferry.session import scratch_path
 from keyferry.sources.changes import change_feed
@@ -138,6 +139,16 @@ def test_renames_of_absent_keys_equal_replay(spark, keyspace, seed, keys, n, sha
         assert state_of(apply_changes(base, events(spark, *shuffled), few=True)) == expected
 
 
+def test_crowded_keys_are_put_in_order_by_chunks(spark, keyspace, monkeypatch):
+    monkeypatch.setattr(renames_module, "CHUNK", 7)
+    rows = some_renames(5, 5, 250, 0.6)
+    # some at one moment
+    rows = [(second // 9 * 9, *rest) for second, *rest in rows]
+    base = keyspace(("k0", "base k0", 77), ("k3", "base k3", 77))
+    expected = replay({"k0": ("base k0", 77), "k3": ("base k3", 77)}, rows)
+    assert state_of(apply_changes(base, events(spark, *rows))) == expected
+
+
 def test_rename_of_an_absent_key_undoes_nothing(spark, keyspace):
     base = keyspace(("t", "old", 5))
     rows = [

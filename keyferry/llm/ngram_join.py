@@ -445,10 +445,15 @@ def _links_within(bucket: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(keys[3]), "links": pa.array(found)})
 
 
-def _whole_sets(wanted: DataFrame, described: DataFrame, texts: DataFrame) -> DataFrame:
-    """The elements of the wanted nodes' sets; only one text of each is read."""
+def _whole_sets(wanted: DataFrame, described: DataFrame, texts: DataFrame, keep: bool = False) -> DataFrame:
+    """The elements of the wanted nodes' sets; only one text of each is read.
+
+    With ``keep`` the ids of these texts are stored, so that Spark knows their size: few of them go to the texts.
+    """
     chosen = described.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("wanted_id"))
     ids = chosen.select("wanted_id").distinct()
+    if keep:
+        ids = stored(ids, "wanted-ids")
     sets = (
         texts.join(ids, texts.doc_id.eqNullSafe(ids.wanted_id), "left_semi")
         .mapInArrow(_sets_of, "node long, elements binary")
@@ -610,14 +615,16 @@ def _rooted(docs: DataFrame, links: bool = False) -> DataFrame:
         rest = checkpointed(members.join(direct, "node", "left_anti"))
         count = F.ceil(F.col("members") / LINK_PIECE).cast("int")
         of_rest = centres.join(rest.select("component").distinct(), "component", "left_semi")
-        centre_sets = _whole_sets(of_rest.select(F.col("centre_node").alias("node")), described, texts)
+        of_centres = of_rest.select(F.col("centre_node").alias("node"))
+        # one pass over the texts for both
+        sets = checkpointed(_whole_sets(rest.select("node").unionByName(of_centres), described, texts, keep=True))
         # a large component's centre is sent to each of its pieces
-        sent = of_rest.join(centre_sets, F.col("centre_node") == F.col("node")).select(
+        sent = of_rest.join(sets, F.col("centre_node") == F.col("node")).select(
             "component", F.explode(F.sequence(F.lit(0), count - 1)).alias("own"), F.col("elements").alias("centre")
         )
         apart = (
             rest.withColumn("own", F.pmod(F.xxhash64("node"), count))
-            .join(_whole_sets(rest.select("node"), described, texts), "node")
+            .join(sets, "node")
             .join(sent, ["component", "own"])
             .select("node", "elements", "centre")
             .mapInArrow(_from_centre, "node long, apart binary")

@@ -3,6 +3,7 @@ import json
 import pytest
 from conftest import plan_of
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from keyferry.operators import rules
 from keyferry.operators.filters import KeyFilter, filter_keys
@@ -56,3 +57,35 @@ def test_defaults_and_patterns(spark, keyspace):
     with pytest.raises(PySparkException):
         rules.keys_of_runs(keyspace(("a", "1")), options(spark, {"p": {"mode": "pattern", "patterns": ["a"]}})).collect()
     assert rules.keys_of_runs(keyspace(("a", "1")), decoded.filter("false")).count() == 0
+
+
+def test_totals_of_runs(spark, keyspace, monkeypatch):
+    monkeypatch.setattr(rules, "KEY_BLOCK", 3)
+    more = {
+        "within": {"mode": "prefix", "prefixes": ["a", "aa"], "exclude_prefixes": ["aa", "aab", "z"]},
+        "none left": {"mode": "prefix", "prefixes": ["ab"], "exclude_prefixes": ["a"]},
+        "zero": {"mode": "keys", "keys": ["k", "k\0", "k"]},
+        "last": {"mode": "prefix", "prefixes": ["\U0010ffff"]},
+    }
+    rows = keyspace(*[(k, "v") for k in [*KEYS, *KEYS, "k", "k\0", "k\0a", "aa", "aab", "aac", "\U0010ffff\U0010ffff"]], (None, "v"))
+    decoded = options(spark, FILTERS | more)
+    expected = {}
+    for r in rules.keys_of_runs(rows, decoded).collect():
+        expected.setdefault(r.run_id, []).append(r.key)
+    assert all(len(keys) == len(set(keys)) for keys in expected.values())
+    assert sorted(expected["within"]) == ["a", "ab", "abc"]
+    assert "none left" not in expected and sorted(expected["zero"]) == ["k", "k\0"] and len(expected["last"]) == 1
+    found = {r.run_id: (r["keys"], r.first_key, r.last_key) for r in rules.totals_of_runs(rows, decoded).collect()}
+    assert found == {run: (len(keys), min(keys), max(keys)) for run, keys in expected.items()}
+
+
+def test_totals_list_no_pairs(spark):
+    # a million keys and 3,000 runs that keep nearly all: 3 * 10**9 pairs
+    keys = spark.range(1_000_000).select(F.concat(F.lit("k:"), F.lpad("id", 7, "0")).alias("key"))
+    number = F.col("id").cast("string")
+    rule = F.struct(F.array(F.concat(F.lit("k:0"), F.lpad(number, 4, "0"))).alias("exclude_prefixes"))
+    stored = F.to_json(F.struct(rule.alias("key_filter")))
+    runs = spark.range(3000).select(F.concat(F.lit("r"), number).alias("id"), stored.alias("config"))
+    found = rules.totals_of_runs(keys, rules.decode_options(runs))
+    assert found.groupBy("keys", "last_key").count().collect() == [(999_900, "k:0999999", 3000)]
+    assert [r.run_id for r in found.where("first_key <> 'k:0000000'").collect()] == ["r0"]

@@ -146,3 +146,18 @@ def test_whole_migration(spark, keyspace, tmp_path):
     assert "PartitionFilters: [isnotnull(slot_bucket" in plan_of(report.target.filter("slot_bucket = 3"))
     with pytest.raises(Exception, match="already exists"):
         migrate(spark, made, keyspace(("a", "b")), str(tmp_path / "v2"))
+
+
+def test_rows_with_values_are_not_sorted(spark, keyspace):
+    source = keyspace(("a", "1"), ("b", "2"), ("c", None), ("d", "4"))
+    target = keyspace(("b", "old"), ("z", "own"), (None, "odd"))
+    known = keyspace(("a", "0"), ("a", "1"), (None, "0"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = incremental_batch(source, known, target)
+        plans = [plan_of(batch.target), plan_of(merge_result(source, target)), plan_of(merge_result(source, target, "replace"))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("Sort [" not in plan and "SortMergeJoin" not in plan for plan in plans)
+    assert values(batch.target) == {"b": "2", "d": "4", "z": "own", None: "odd"}
+    assert values(merge_result(source, target)) == {"a": "1", "b": "old", "d": "4", "z": "own", None: "odd"}

@@ -37,6 +37,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Short rows that are worth a task of their own.
+ROWS_A_TASK = 4096
+
+
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """Checkpointed short rows, few of them in few tasks: each task of a shuffle writes files of its own."""
+    held = checkpointed(df)
+    return held.coalesce(tasks_for(held.count()))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

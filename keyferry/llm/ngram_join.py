@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from keyferry.llm.common import (
     checkpointed,
+    gathered,
     hashes_at,
     mixed,
     prefix_sums,
@@ -473,7 +474,7 @@ def _verified(pairs: DataFrame, described: DataFrame, texts: DataFrame, links: b
         sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b")), "b"
     )
     found = met.select("a", "b", "set_a", "set_b").mapInArrow(_linked_pairs, "a long, b long, apart binary")
-    return checkpointed(found if links else found.select("a", "b"))
+    return gathered(found if links else found.select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, links: bool = False) -> DataFrame:
@@ -579,8 +580,8 @@ def _rooted(docs: DataFrame, links: bool = False) -> DataFrame:
         return rows.groupBy(bucket.alias("bucket")).applyInArrow(_bucket_pairs, "a long, b long").distinct()
 
     stars = candidate_pairs(shared.join(known, "node"))
-    near = _verified(checkpointed(stars), described, texts, links)
-    first = checkpointed(connected(near.select("a", "b")))
+    near = _verified(gathered(stars), described, texts, links)
+    first = gathered(connected(near.select("a", "b")))
     located = shared.join(first.withColumnRenamed("id", "node"), "node", "left").select(
         "signature", "node", "members", F.coalesce("component", "node").alias("component")
     )
@@ -591,28 +592,28 @@ def _rooted(docs: DataFrame, links: bool = False) -> DataFrame:
     )
     rest = located.join(open_groups.select("signature"), "signature", "left_semi").join(known, "node")
     others = candidate_pairs(rest, "component")
-    more = _verified(checkpointed(others), described, texts, links)
+    more = _verified(gathered(others), described, texts, links)
     roots = connected(near.select("a", "b").unionByName(more.select("a", "b"))).select(F.col("id").alias("node"), "component")
     counted = []
     if links:
-        roots = checkpointed(roots)
+        roots = gathered(roots)
         copies = described.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
         both = near.unionByName(more)
         either = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("ab", "ba")]
         ends = both.select("apart", F.inline(F.array(*either)))
         degrees = roots.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node")
         # the set with the most links known so far is a component's centre
-        centres = checkpointed(
+        centres = gathered(
             degrees.groupBy("component").agg(
                 F.count("*").alias("members"), F.max(F.struct("degree", "node"))["node"].alias("centre_node")
             )
         )
-        members = checkpointed(roots.join(centres, "component"))
+        members = gathered(roots.join(centres, "component"))
         # most sets were compared with the centre itself
         direct = ends.join(centres.select(F.col("centre_node").alias("other")), "other").select("node", "apart")
         of_centres = centres.select(F.col("centre_node").alias("node"), F.lit(b"").alias("apart"))
-        direct = checkpointed(direct.dropDuplicates(["node"]).unionByName(of_centres))
-        rest = checkpointed(members.join(direct, "node", "left_anti"))
+        direct = gathered(direct.dropDuplicates(["node"]).unionByName(of_centres))
+        rest = gathered(members.join(direct, "node", "left_anti"))
         count = F.ceil(F.col("members") / LINK_PIECE).cast("int")
         of_rest = centres.join(rest.select("component").distinct(), "component", "left_semi")
         of_centres = of_rest.select(F.col("centre_node").alias("node"))

@@ -472,3 +472,21 @@ def test_topk(spark):
 @pytest.mark.parametrize("name", list(queries.ORACLE))
 def test_query_matches_sql(spark, sf_dir, name):
     assert differences(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.ORACLE[name]) == []
+
+
+def test_few_links_make_few_files(spark):
+    from pathlib import Path
+
+    from keyferry.llm.common import gathered, tasks_for
+    from keyferry.llm.components import connected
+
+    assert [tasks_for(n) for n in (0, 1, 4096, 4097)] == [1, 1, 1, 2]
+    assert gathered(spark.range(100).repartition(8)).rdd.getNumPartitions() == 1
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.glob("rdd-*"))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(50, 50)], "a long, b long")
+    found = {r.id: r.component for r in connected(links).collect()}
+    assert found == {i: i // 10 * 10 for i in range(40)}
+    parts = [len(list(d.glob("part-*"))) for d in set(folder.glob("rdd-*")) - before]
+    # the links as they come, and then one file for each round
+    assert len(parts) > 2 and sorted(parts)[:-1] == [1] * (len(parts) - 1)

@@ -141,7 +141,7 @@ class Recent(dict):
     It only saves time: results never depend on what is held. Arguments over 64 characters are not kept.
     """
 
-    def __init__(self, make: Callable, size: int = 500_000):
+    def __init__(self, make: Callable, size: int = 100_000):
         super().__init__()
         self.make, self.size, self.older = make, size, {}
 

@@ -71,25 +71,26 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(margins, -50, 50)))
 
 
+def _pairs_in(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of whole texts the rows and their distinct features."""
+    for start, rows, features in features_in(texts):
+        pairs = np.unique(rows.astype(np.int64) << BUCKET_BITS | features)
+        yield (pairs >> BUCKET_BITS).astype(np.int32) + start, (pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
+
+
 def train(texts: list[str], labels: np.ndarray) -> Model:
     """Fit the classifier: ratios from the texts' features, then logistic regression with a penalty on the scaled ones."""
     size = 1 << BUCKET_BITS
-    rows, found = [], []
-    for start, r, f in features_in(texts):
-        pairs = np.unique(r.astype(np.int64) << BUCKET_BITS | f)
-        rows.append((pairs >> BUCKET_BITS).astype(np.int32) + start)
-        found.append((pairs & (size - 1)).astype(np.int32))
-    row = np.concatenate([np.zeros(0, np.int32), *rows])
-    del rows
-    feature = np.concatenate([np.zeros(0, np.int32), *found])
-    del found
     labels = np.asarray(labels, dtype=np.float64)
     ones = float(labels.sum())
     if not 0 < ones < len(labels):
         # one class only: nothing to tell apart
         return Model(np.zeros(size, np.float32), -4.0 if not ones else 4.0)
-    with_one = np.bincount(feature[(labels == 1)[row]], minlength=size).astype(np.float64)
-    with_zero = np.bincount(feature, minlength=size) - with_one
+    with_one, with_zero = np.zeros(size), np.zeros(size)
+    for row, feature in _pairs_in(texts):
+        one = (labels == 1)[row]
+        with_one += np.bincount(feature[one], minlength=size)
+        with_zero += np.bincount(feature[~one], minlength=size)
     ratio = np.log((with_one + SMOOTHING) / (ones + 2 * SMOOTHING)) - np.log(
         (with_zero + SMOOTHING) / (len(labels) - ones + 2 * SMOOTHING)
     )
@@ -97,8 +98,13 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / (len(labels) - ones)))
     apart = np.abs(with_one / ones - with_zero / (len(labels) - ones)) / error
     ratio[(with_one + with_zero < LEAST_TEXTS) | (apart < LEAST_ERRORS)] = 0
-    kept = ratio[feature] != 0
-    row, feature = row[kept], feature[kept]
+    # the texts are read again, since few of their features count: all of them at once would be many times as large
+    rows, found = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for row, feature in _pairs_in(texts):
+        kept = ratio[feature] != 0
+        rows.append(row[kept])
+        found.append(feature[kept])
+    row, feature = np.concatenate(rows), np.concatenate(found)
     # both classes weigh alike while the weights are sought
     share = np.where(labels == 1, 0.5 / ones, 0.5 / (len(labels) - ones))
     scaled = ratio[feature]

@@ -490,3 +490,29 @@ def test_few_links_make_few_files(spark):
     parts = [len(list(d.glob("part-*"))) for d in set(folder.glob("rdd-*")) - before]
     # the links as they come, and then one file for each round
     assert len(parts) > 2 and sorted(parts)[:-1] == [1] * (len(parts) - 1)
+
+
+def test_kept_words_are_bounded():
+    from keyferry.llm.common import Recent
+
+    kept = Recent(len)
+    assert all(kept[str(n)] == len(str(n)) for n in range(450_000))
+    assert len(kept) + len(kept.older) <= 200_000
+
+
+def test_training_holds_no_features_that_do_not_count(monkeypatch):
+    import tracemalloc
+
+    from keyferry.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 1 << 15)
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(97, 4000, 12_000))) for _ in range(400)]
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, np.arange(400) % 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 14 million pairs of a text and a feature, none of which tells the classes apart
+    assert peak < 160e6

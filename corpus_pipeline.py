@@ -54,11 +54,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             while free.lower() in map(str.lower, docs.columns):
                 free = f"doc_{free}"
             docs = docs.withColumnRenamed(name, free)
-    coded = docs.withColumn("ids", piece_codec.ids_column(whole_text(), VOCABULARY))
-    decoded = piece_codec.text_column(F.col("ids"), VOCABULARY)
+    coded = piece_codec.coded_column(whole_text(), VOCABULARY)
     # a blank's mark inside a text is decoded as a blank
-    same = decoded == F.regexp_replace(whole_text(), F.lit(piece_codec.SPACE), F.lit(" "))
-    return coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same)
+    same = coded["decoded"] == F.regexp_replace(whole_text(), F.lit(piece_codec.SPACE), F.lit(" "))
+    size = F.size(coded["ids"]).cast("long")
+    return docs.select("*", coded["ids"].alias("ids"), size.alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

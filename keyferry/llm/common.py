@@ -149,12 +149,32 @@ class Recent(dict):
         result = self.older.get(argument)
         if result is None:
             result = self.make(argument)
+        self._keep(argument, result)
+        return result
+
+    def _keep(self, argument, result) -> None:
         if len(argument) <= 64:
             if len(self) >= self.size:
                 self.older = dict(self)
                 self.clear()
             self[argument] = result
-        return result
+
+    def all_of(self, arguments: set, make_all: Callable[[list], list]) -> dict:
+        """The results of all arguments; those that are not held are made together."""
+        found, new = {}, []
+        for argument in arguments:
+            result = self.get(argument)
+            if result is None:
+                result = self.older.get(argument)
+                if result is None:
+                    new.append(argument)
+                    continue
+                self._keep(argument, result)
+            found[argument] = result
+        for argument, result in zip(new, make_all(new)):
+            self._keep(argument, result)
+            found[argument] = result
+        return found
 
 
 def once_per_worker(name: str, make: Callable):

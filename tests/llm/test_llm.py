@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from compare import connect, differences
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyferry.llm import (
+    common,
     fingerprints,
     mixing,
     ngram_join,
@@ -218,6 +220,57 @@ def test_codec_and_counts_match_the_library(docs, doubled, empty):
         assert decode(np.array(ids, dtype=np.int32)) == library.decode(ids)
 
 
+def small_vocabulary(rng):
+    """Pieces over few letters, many of equal score; not every letter is a piece."""
+    letters = pieces.SPACE + "abcé日"
+    made = {"".join(rng.choices(letters[1:], k=rng.randrange(2, 6))) for _ in range(60)}
+    made |= {pieces.SPACE + p for p in rng.sample(sorted(made), 20)} | set(letters[:4])
+    texts = [None, *range(256), *sorted(made)]
+    return pieces.Vocabulary(
+        {p: rng.randrange(20) << 32 for p in sorted(made)},
+        {p: 257 + n for n, p in enumerate(sorted(made))},
+        tuple(range(1, 257)),
+        tuple(texts),
+        0,
+    )
+
+
+def test_units_encoded_together(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(piece_codec, "UNITS", 50)
+    for vocabulary in [pieces.read_vocabulary(queries.VOCABULARY), *(small_vocabulary(rng) for _ in range(8))]:
+        drawn = ["".join(rng.choices("aaabbcé日x\n\x00🎉", k=rng.randrange(80))) for _ in range(400)]
+        words = [*drawn, *WORDS, *map("".join, zip(WORDS, WORDS[::-1])), pieces.SPACE * 3, "\U0010ffff"]
+        units = [pieces.SPACE + w for w in words]
+        found = piece_codec.encode_units(units, vocabulary, piece_codec.Agendas(vocabulary))
+        for unit, ids in zip(units, found):
+            assert np.frombuffer(ids, dtype=np.int32).tolist() == piece_codec.encode_unit(unit, vocabulary)
+    assert piece_codec.encode_units([], vocabulary, piece_codec.Agendas(vocabulary)) == []
+
+
+def test_held_results():
+    asked = []
+
+    def make_all(new):
+        asked.extend(new)
+        return [a.upper() for a in new]
+
+    kept = common.Recent(str.upper, size=2)
+    for arguments in ({"a"}, {"a", "b", "c", "d", "e"}, {"x" * 65}, {"x" * 65}, set()):
+        assert kept.all_of(arguments, make_all) == {a: a.upper() for a in arguments}
+        assert len(kept) <= 2 and len(kept.older) <= 2
+    assert asked.count("a") == 1 and asked.count("x" * 65) == 2
+
+
+def test_texts_are_encoded_once(docs):
+    for coded in (
+        piece_codec.encode_decode(docs, queries.VOCABULARY),
+        corpus_pipeline.encode(docs.sparkSession, docs.drop("ids"), ""),
+    ):
+        plan = coded._jdf.queryExecution().executedPlan().toString()
+        assert set(re.findall(r"pythonUDF\d+", plan)) == {"pythonUDF0"}
+
+
 def token_count_path():
     from keyferry.llm.common import resolved
 
